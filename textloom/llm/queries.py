@@ -33,5 +33,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("entry_a"), F.greatest("id", "other").alias("entry_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.leaks import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.leaks import leaks, without_leaks
+
+    docs = _table(spark, sf_dir, "documents")
+    return without_leaks(docs, leaks(docs, _table(spark, sf_dir, "eval_items")))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean)}
 SQL: dict[str, str] = {}
