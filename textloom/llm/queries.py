@@ -46,5 +46,29 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(docs, leaks(docs, _table(spark, sf_dir, "eval_items")))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language import languages, train, wrong_labels
+
+    docs = _table(spark, sf_dir, "documents")
+    return wrong_labels(languages(docs, train(docs)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.subjects import subjects, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return subjects(docs, train(docs, _table(spark, sf_dir, "subject_labels"))).select("doc_id", "subject").distinct()
+
+
+def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composition of the corpus: documents of each filed category by found subject."""
+    from textloom.llm.subjects import subjects, train
+
+    docs = _table(spark, sf_dir, "documents")
+    found = subjects(docs, train(docs, _table(spark, sf_dir, "subject_labels")))
+    both = docs.select("doc_id", F.lower("category").alias("category")).join(found, "doc_id", "left")
+    return both.groupBy("category", F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.countDistinct("doc_id").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix)}
 SQL: dict[str, str] = {}
