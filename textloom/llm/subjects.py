@@ -15,15 +15,15 @@ from textloom.llm.text import plain, sentences
 
 SUBJECTS = ["science", "medicine", "law", "sport", "software", "hardware", "vehicles", "religion", "politics", "commerce"]
 BUCKETS = 1 << 16
-ALPHA = 1.0
+ALPHA = 0.5
 SHARPEN = 2.0  # scale of scores in the expectation step
 NONE_SCORE = 4.5  # evidence that a sentence of no subject counts with, above that of ten silent subjects
 NONE_WEIGHT = 0.1
-CONTEXT = 4.0
+CONTEXT = 7.0
 EVIDENCE = 0.5  # a lower score is none: posteriors are calibrated above it
 SHARE = 0.25
 LABEL_ROWS = 20_000  # label rows that training reads at most
-ROUNDS = 2
+ROUNDS = 4
 _TOKEN = re.compile(r"[^\W\d_]{2,}")
 _NOISE = re.compile(r"\S*[\d@!/<>\[\]_\\]\S*")
 
