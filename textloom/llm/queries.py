@@ -70,5 +70,18 @@ def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("category", F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.countDistinct("doc_id").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.neardup import near_duplicates, pairs
+
+    return pairs(*near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, on runs of five words at 0.8."""
+    from textloom.llm.neardup import classes, near_duplicates
+
+    return classes(*near_duplicates(_table(spark, sf_dir, "documents"), gram=5, similarity=0.8))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes)}
 SQL: dict[str, str] = {}
