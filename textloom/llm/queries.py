@@ -83,5 +83,22 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(*near_duplicates(_table(spark, sf_dir, "documents"), gram=5, similarity=0.8))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes)}
+def _personal(spark: SparkSession, sf_dir: str, masked: bool) -> DataFrame:
+    from textloom.llm.pii import found, train
+
+    tagger = train()
+    parts = [("documents", "doc_id", "text"), ("raw_posts", "post_id", "text"), ("rag_sources", "source_id", "snippet")]
+    made = [found(_table(spark, sf_dir, t), tagger, t, i, c, masked) for t, i, c in parts]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, False).select("table_name", "row_id", "pii_type", "start_pos").distinct()
+
+
+def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir, True)
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked)}
 SQL: dict[str, str] = {}
