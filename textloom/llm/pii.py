@@ -15,7 +15,7 @@ from textloom.llm.practice import FRAMES, Writer, unmarked
 KINDS = ["person_name", "email", "phone", "id_number", "street_address"]
 LABELS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 REACH = 3  # neighbours on either side whose features count
-POSTS, SENTENCES = 420, 2600  # size of the labelled table
+POSTS, SENTENCES = 600, 4000  # size of the labelled table
 AROUND = 5
 _TOKEN = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_+)")
 _N = len(LABELS)
@@ -122,7 +122,7 @@ class Tagger:
         return out
 
 
-def train(table: list[tuple[list[str], list[int]]] | None = None, epochs: int = 5, batch: int = 64, rate: float = 0.25, decay: float = 1e-6, seed: int = 4) -> Tagger:
+def train(table: list[tuple[list[str], list[int]]] | None = None, epochs: int = 6, batch: int = 64, rate: float = 0.25, decay: float = 1e-6, seed: int = 4) -> Tagger:
     """Maximum likelihood by adaptive gradient steps over batches of sequences."""
     table = labelled_table() if table is None else table
     counts: dict[str, int] = {}

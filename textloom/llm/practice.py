@@ -40,28 +40,29 @@ FRAMES = {
         "My account at {x} expires in {n} days.", "The {w} was {w} about {n} times before the {w} gave out. (ref {r})",
         "{t} I tried to write from {x} but {x} lost the whole thing.", "Let me quote the relevant bit: a {w} is {w} until the {w} is {w}. <{m}>",
         "Mine came with a {w}, a {w} and one rather {w} {w}. [{v}]", "They call it {w} over there in {x}. (ISBN {i})",
-        "There is no {w} in {x} that could be called {w}. {u}", "Please mail me directly, our feed drops about {n} percent of everything.",
-        "Read the {n} pages of {o} first.", "{p} still owes me {n} copies. [{q} points]", "Path: {h}", "Sorry, {p}, this is for {p}.",
+        "As far as I can tell, {x} only offers the {w} {w}.", "Both the {w} and the {w} were {w} {t}.", "My guess is that the {w} and the {w} were never meant to be {w} together.", "I {w} the {w} {t} and the {w} still looks {w}.", "There is no {w} in {x} that could be called {w}. {u}", "Please mail me directly, our feed drops about {n} percent of everything.",
+        "Read the {n} pages of {o} first.", "{p} {w} it.", "Hope to see a few of you in {x} when {x} opens its doors.", "{p} still owes me {n} copies. [{q} points]", "Path: {h}", "Sorry, {p}, this is for {p}.", "Anyway, that is how it went {t}.",
+        "Thanks to everyone who wrote back, I got {n} replies {t}.", "More details {t} when I am back from {x}.", "Could the keeper of the {x} archive please drop me a line?", "Yours truly has been lurking here for {n} weeks, greetings from {x}.",
     ],
     "de": [
         "Man sagt, der {w} sei {w}, doch {p} glaubt das nicht.", "Vielleicht kann {p} erklären, was das {w} mit {x} zu tun hat.",
-        "In {x} kostet so etwas {n} Mark, und der {w} ist dabei.", "Seit {n} Tagen warte ich, ob der {w} oder die {w} besser wird.",
+        "{p} war damals in {x} und grüßt euch alle.", "{p} hat mich gebeten, das weiterzugeben.", "In {x} kostet so etwas {n} Mark, und der {w} ist dabei.", "Seit {n} Tagen warte ich, ob der {w} oder die {w} besser wird.",
         "Der {w} und die {w} gehören zusammen, meint {p}.", "Bei {x} ist der {w} angeblich {w}, aber {n} Leute sehen das anders.",
         "Fragt einfach nach {p}, {c}.", "Erreichbar bin ich unter {c}, meistens abends.", "Kontakt: {c}", "Ich habe {n} Mal nachgesehen, und jedes Mal war der {w} {w}.",
         "Zum Schluss ein Gruß an {p} und an alle in {x}.", "Wer den Ordner von {x} hat, möge sich melden. (ISBN {i})", "Entweder ist die {w} {w} oder der {w} stimmt nicht. (ref {r})",
     ],
     "fr": [
         "D'après {p}, le {w} compte davantage que la {w}.", "Sans aucun doute, le {w} sera {w} quand {p} viendra.", "J'ai vérifié {n} fois, et le {w} reste {w}.",
-        "Chez {x}, la {w} est {w} pour {n} personnes.", "Ce qui me gêne, c'est que le {w} coûte {n} francs à {x}.", "Voici ce que {x} raconte : la {w} serait {w}.",
+        "{p} m'a demandé de transmettre ceci.", "{p} était à {x} et vous salue.", "Chez {x}, la {w} est {w} pour {n} personnes.", "Ce qui me gêne, c'est que le {w} coûte {n} francs à {x}.", "Voici ce que {x} raconte : la {w} serait {w}.",
         "Demandez {p}, {c}.", "On me joint au {c}, plutôt le soir.", "Contact : {c}", "Pour finir, un salut à {p} et à tous ceux de {x}.", "Personne à {x} ne comprend comment le {w} a pu changer. <{m}>",
     ],
     "es": [
         "Según {p}, la {w} importa más que el {w}.", "Sin duda el {w} estará {w} cuando llegue {p}.", "Con {x}, la {w} sigue {w} para {n} personas.",
-        "Lo que me molesta es que el {w} cuesta {n} pesetas en {x}.", "Nadie en {x} entiende cómo el {w} pudo cambiar la {w}.", "Esto cuenta {x}: que el {w} quedó {w} {t}.",
+        "Lo que me molesta es que el {w} cuesta {n} pesetas en {x}.", "Nadie en {x} entiende cómo el {w} pudo cambiar la {w}.", "{p} estuvo en {x} y manda saludos.", "{p} me ha pedido que envíe esto.", "Esto cuenta {x}: que el {w} quedó {w} {t}.",
         "Pregunten por {p}, {c}.", "Me encuentran en {c} casi siempre.", "Contacto: {c}", "Un saludo para {p} y para todos en {x}.", "Llevamos {n} días esperando el {w}. (ref {r})",
     ],
     "pt": [
-        "Segundo {p}, a {w} vale mais do que o {w}.", "Não há dúvida de que o {w} vai estar {w} quando chegar {p}.", "Com {x}, o {w} continua {w} para {n} pessoas.",
+        "Segundo {p}, a {w} vale mais do que o {w}.", "Não há dúvida de que o {w} vai estar {w} quando chegar {p}.", "{p} esteve em {x} e manda cumprimentos.", "{p} pediu-me que enviasse isto.", "Com {x}, o {w} continua {w} para {n} pessoas.",
         "Foi isto que {x} contou: que o {w} ficou {w}.", "O que me aborrece é que a {w} custa {n} escudos em {x}.", "Há {n} dias que esperamos por tudo isto, o {w} e também a {w}.",
         "Perguntem por {p}, {c}.", "Encontram-me em {c} quase sempre.", "Contacto: {c}", "Um abraço para {p} e para todos em {x}.", "Já vi isso {n} vezes e o {w} ainda não ficou {w}. [{v}]",
     ],
@@ -77,15 +78,22 @@ TIMES = {
     "en": ["yesterday", "last week", "since spring", "before the move", "over the weekend", "by accident", "in the end"],
     "de": ["gestern"], "fr": ["hier"], "es": ["ayer", "hace poco"], "pt": ["ontem"],
 }
+OTHERS = {
+    "en": ["a friend of mine", "my brother", "the moderator", "a colleague", "some expert", "our neighbour", "my advisor"],
+    "de": ["eine Kollegin", "ein Bekannter", "mein Bruder", "der Moderator", "unser Nachbar"],
+    "fr": ["une collègue", "un ami", "mon frère", "le modérateur", "notre voisin"],
+    "es": ["una compañera", "un amigo", "mi hermano", "el moderador", "nuestro vecino"],
+    "pt": ["uma colega", "um amigo", "meu irmão", "o moderador", "o nosso vizinho"],
+}
 TITLES = ["Dr.", "Prof.", "Mr.", "Ms."]
-STREETS = ["Street", "Road", "St.", "Lane", "Avenue", "Rd."]
+STREETS = ["Street", "Road", "St.", "Lane", "Avenue", "Rd.", "Ave", "Ave.", "Court", "Drive", "Way", "Close"]
 OPEN = {
     "en": ["Hello,", "Hi all,", "Greetings netters!", "Hello everybody,"], "de": ["Hallo zusammen,", "Liebe Leute,", "Guten Tag,"],
-    "fr": ["Bonjour à tous,", "Salut à tous,"], "es": ["Hola a todos:", "Buenas tardes,", "Estimados:"], "pt": ["Olá a todos,", "Boa tarde,"],
+    "fr": ["Bonjour,", "Bonjour à tous,", "Salut à tous,"], "es": ["Hola a todos:", "Buenas tardes,", "Estimados:"], "pt": ["Olá a todos,", "Boa tarde,"],
 }
 CLOSE = {
     "en": ["Regards,", "Cheers,", "ttfn", "Yours truly,", "Best wishes", "Thanks in advance,", "Later,"],
-    "de": ["Viele Grüße", "Mit freundlichen Grüßen", "Gruß,"], "fr": ["Cordialement,", "Amicalement", "À bientôt,"],
+    "de": ["Viele Grüße", "Mit freundlichen Grüßen", "Gruß,", "Tschüs,", "Bis bald,"], "fr": ["Cordialement,", "Amicalement", "À bientôt,"],
     "es": ["Saludos", "Un saludo,", "Atentamente,"], "pt": ["Um abraço", "Cumprimentos,", "Até breve,"],
 }
 NOTICES = {
@@ -101,7 +109,7 @@ NOTICES = {
     "pt": ["Esta mensagem é confidencial e destina-se apenas ao destinatário. A {o} não se responsabiliza."],
 }
 FORWARD = {
-    "en": ("---------- Forwarded message ----------", "-----Original Message-----", "From: {f}", "Sent: {d}", "To: {e}", "Subject: {s}"),
+    "en": ("---------- Forwarded message ----------", "----- Begin Included Message -----", "From: {f}", "Sent: {d}", "To: {e}", "Subject: {s}"),
     "de": ("-----Ursprüngliche Nachricht-----", "-----Ursprüngliche Nachricht-----", "Von: {f}", "Gesendet: {d}", "An: {e}", "Betreff: {s}"),
     "fr": ("-----Message d'origine-----", "-----Message d'origine-----", "De : {f}", "Envoyé : {d}", "À : {e}", "Objet : {s}"),
     "es": ("-----Mensaje original-----", "-----Mensaje original-----", "De: {f}", "Enviado: {d}", "Para: {e}", "Asunto: {s}"),
@@ -143,7 +151,7 @@ class Writer:
         return self.pick(GIVEN), self.pick(SURNAMES) if self.chance(0.6) else self.name()
 
     def shown(self, given: str, last: str, listed: bool = False) -> str:
-        form = self.pick(["{g} {s}"] * 5 + ["{g}", "{g} {i}. {s}", "{h}. {s}", "{t}", "{t}"] + (["{s}, {g}"] if listed else []))
+        form = self.pick(["{g} {s}"] * 5 + ["{g}", "{g}", "{g} {i}. {s}", "{h}. {s}", "{t}", "{t}"] + (["{s}, {g}"] if listed else []))
         if form == "{t}":
             return f"{self.pick(TITLES)} ⟦person_name|{last}⟧"
         text = form.format(g=given, s=last, i=self.pick("ABCDEFHJKLMRST"), h=given[0])
@@ -154,7 +162,7 @@ class Writer:
 
     def address(self, given: str, last: str) -> str:
         g, s = given.lower(), last.lower().replace("-", "")
-        user = self.pick([f"{g}.{s}", f"{g}_{s}", f"{s}{self.rng.integers(2, 99)}", f"{g[0]}{s}", f"{g}+news"])
+        user = self.pick([f"{g}.{s}", f"{g}_{s}", f"{s}{self.rng.integers(1, int(self.pick([10, 99])))}", f"{g[0]}{s}", f"{g}+news"])
         return user + "@" + self.host()
 
     def email(self, given: str, last: str, spelt: bool = True) -> str:
@@ -169,7 +177,7 @@ class Writer:
     def phone(self) -> str:
         a, c, d = self.rng.integers(200, 999), "555", "01" + self.digits(2)
         text = self.pick(
-            [f"({a}) {c}-{d}", f"{a}-{c}-{d}", f"{a}.{c}.{d}", f"{a}{c}{d}", f"+1 {a} {c} {d}", f"1-{a}-{c}-{d}", f"020 7946 0{self.digits(3)}",
+            [f"({a}) {c}-{d}", f"{a}-{c}-{d}", f"{a}.{c}.{d}", f"{a}{c}{d}", f"{a}{c}{d}", f"+1 {a} {c} {d}", f"1-{a}-{c}-{d}", f"020 7946 0{self.digits(3)}",
              f"+44 20 7946 0{self.digits(3)}", f"030/23125 {self.digits(3)}", f"+49 30 23125{self.digits(3)}", f"01 99 00 {self.digits(2)} {self.digits(2)}", f"+33 1 99 00 {self.digits(2)} {self.digits(2)}"]
         )
         return f"⟦phone|{text}⟧"
@@ -184,10 +192,10 @@ class Writer:
 
     def street(self) -> str:
         n, x = int(self.rng.integers(1, 990)), self.name()
-        old = self.pick(["Ferngate", "Copperhill", "Saltmere", "Old Kiln", "Willowfen", "Brackwater", "Hobbin", x])
+        old = self.pick(["Ferngate", "Copperhill", "Saltmere", "Old Kiln", "Willowfen", "Brackwater", "Hobbin", "Tanager", x])
         text = self.pick(
-            [f"{n} {old} {self.pick(STREETS)}"] * 4 + [f"{n} {old} {self.pick(STREETS)}, Apt {self.rng.integers(1, 60)}", f"{n} rue {x}", f"{n} bis, avenue {x}", f"Calle {x} {n}", f"Calle {x}, {n}",
-             f"Rua {x}, {n}", f"{x}straße {n}", f"{x}weg {n}", f"{x}str. {n}", f"Avenida {x} {n}"]
+            [f"{n} {old} {self.pick(STREETS)}"] * 4 + [f"{n} {old} {self.pick(STREETS)}, Apt {self.rng.integers(1, 60)}"] * 2 + [f"{n} rue {x}"] * 2 + [f"{n} bis, avenue {x}", f"Calle {x} {n}", f"Calle {x}, {n}",
+             f"Rua {x}, {n}", f"Rua {x}, {n}", f"Avenida {x} {n}", f"{x}strasse {n}", f"{x}str. {n}"] + [f"{x}straße {n}"] * 3 + [f"{x}weg {n}"] * 2
         )
         text, cut, rest = text.partition(", Apt")
         return f"⟦street_address|{text}⟧{cut}{rest}"
@@ -203,7 +211,7 @@ class Writer:
             kind = m.group(1)
             value = {
                 "w": lambda: self.pick(WORDS[lang]), "x": self.thing, "t": lambda: self.pick(TIMES[lang]), "n": lambda: str(self.rng.integers(2, 4999)), "c": self.contact,
-                "p": lambda: self.shown(*self.person(), listed=True) if self.chance(0.6) else self.pick(["a friend of mine", "my brother", "the moderator", "a colleague"]),
+                "p": lambda: self.shown(*self.person(), listed=True) if self.chance(0.6) else self.pick(OTHERS[lang]),
                 "r": lambda: f"{d(3)}-{d(2)}-{d(4)}-{d(1)}", "m": lambda: f"{d(7)}.{d(3)}", "v": lambda: f"v{d(1)}.{d(1)}.{d(3)}", "i": lambda: f"{d(1)}-{d(4)}-{d(4)}-{d(1)}",
                 "u": lambda: f"ftp://ftp.{self.host()}/pub/{self.name().lower()}", "o": self.org, "h": lambda: "!".join(self.name().lower() for _ in range(8)),
                 "q": lambda: f"{self.rng.integers(2, 99)} {self.pick(['Old-Kiln', 'Ferngate', 'Copperhill'])}",
@@ -240,7 +248,7 @@ class Writer:
         mail = self.email(given, last, spelt=False)
         full = self.pick([who, who, f"{who} <{mail}>", f"{who} ({mail})"])
         line = self.pick(SAID[lang]).format(
-            d=self.date(), f=full, g=full, p=self.shown(given, last), e=mail, b=f"{mail} ({who})", k=f"<{self.digits(8)}.{self.digits(3)}@{self.host()}>"
+            d=self.date(), f=full, g=full, p=self.shown(given, last), e=mail, b=f"{mail} ({who})", k=f"<{self.digits(int(self.rng.integers(5, 9)))}.{self.digits(int(self.rng.integers(2, 5)))}@{self.host()}>"
         )
         if self.chance(0.3):
             m = re.search(r" (?=[<(]⟦email)| (?=\(⟦person)| (?=wrote|writes|schrieb:|escri|a écrit)", line)
@@ -262,7 +270,7 @@ class Writer:
         head = [
             "From: " + self.pick([f"{who} <{mail}>", f"{mail} ({who})", mail]), f"Newsgroups: {self.pick(['comp', 'rec', 'sci', 'talk'])}.{self.name().lower()}",
             self.pick(["Subject: ", "Subject: Re: ", "SUBJECT: Fwd: "]) + MARK.sub(lambda m: m[2], "How can a {} {} be {}?".format(*(self.pick(WORDS[lang]) for _ in range(3)))),
-            f"Date: {self.date()}", f"Message-ID: <{self.digits(8)}.{self.digits(3)}@{self.host()}>",
+            f"Date: {self.date()}", f"Message-ID: <{self.digits(int(self.rng.integers(5, 9)))}.{self.digits(int(self.rng.integers(2, 5)))}@{self.host()}>",
         ]
         head += [f"Lines: {self.rng.integers(2, 80)}"] * self.chance(0.5) + [f"Organization: {self.org()}"] * self.chance(0.5) + [f"Reply-To: {mail}"] * self.chance(0.3)
         if self.chance(0.85):

@@ -100,5 +100,17 @@ def p7_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _personal(spark, sf_dir, True)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.mail import authored, train
+
+    return authored(_table(spark, sf_dir, "raw_posts"), train()).select("post_id", "line_no").distinct()
+
+
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.mail import new_text, train
+
+    return new_text(_table(spark, sf_dir, "raw_posts"), train())
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked, p6_found, p6_text)}
 SQL: dict[str, str] = {}
