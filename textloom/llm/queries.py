@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.plans.storage import stored
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -112,5 +114,18 @@ def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_text(_table(spark, sf_dir, "raw_posts"), train())
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked, p6_found, p6_text)}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language import train
+    from textloom.llm.responses import defects
+
+    return defects(_table(spark, sf_dir, "rag_runs"), train(_table(spark, sf_dir, "documents")))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.packing import pack, token_counts
+
+    return pack(stored(token_counts(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked, p6_found, p6_text, p5_found, p8_containers)}
 SQL: dict[str, str] = {}
