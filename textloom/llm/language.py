@@ -135,8 +135,11 @@ class ByteNetwork:
         return g
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS) -> ByteNetwork:
-    """Train on a bounded sample of labelled rows; half of the windows also lose case or accents."""
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_DOCS, extra: list[tuple[str, str]] = ()) -> ByteNetwork:
+    """Train on a bounded sample of labelled rows, some of whose windows lose accents or are cut short.
+
+    extra: further (text, language), such as short prompts.
+    """
     head = F.lower(F.regexp_extract(F.trim(lang), r"^[^-_\s(]+", 0))
     of = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
     labelled = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), of[head].alias("lang")).where("lang is not null and text is not null")
@@ -161,6 +164,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     part = part[: rng.integers(20, WINDOW)]
                 x.append(part)
                 y.append(LANGUAGES.index(r.lang))
+    for body, of in extra:
+        for part in windows(body):
+            x.append(part)
+            y.append(LANGUAGES.index(of))
     if not x:
         return ByteNetwork(len(LANGUAGES))
     x, y = _matrix(x), np.array(y)
