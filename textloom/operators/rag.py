@@ -75,7 +75,7 @@ def source_view(sources: DataFrame) -> DataFrame:
 
 def context(sources: DataFrame, key: str = "run_id") -> DataFrame:
     """One block of text per run: its sources in order, each under a headline, between rules."""
-    block = F.concat(F.format_string("[%d] Category: %s | Score: %.3f", "source_index", "category", "score"), F.lit("\n"), F.coalesce("snippet", F.lit("")))
+    block = F.concat(F.format_string("[%d] Category: %s | Score: %.3f", "source_index", "category", F.round("score", 3)), F.lit("\n"), F.coalesce("snippet", F.lit("")))
     ordered = F.sort_array(F.collect_list(F.struct("source_index", block.alias("b"))))
     return sources.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x.b), "\n---\n").alias("context"))
 

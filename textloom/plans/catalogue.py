@@ -441,7 +441,7 @@ def graded_sources(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_TOP} SELECT run_id, md5(string_agg(printf('[%d] Category: %s | Score: %.3f', i, coalesce(category, 'unknown'), round(score, 4)) || chr(10) || coalesce(substring(snippet, 1, 200), ''), chr(10) || '---' || chr(10) ORDER BY i)) AS context_md5
+    f"""WITH {_TOP} SELECT run_id, md5(string_agg(printf('[%d] Category: %s | Score: %.3f', i, coalesce(category, 'unknown'), round(score, 3)) || chr(10) || coalesce(substring(snippet, 1, 200), ''), chr(10) || '---' || chr(10) ORDER BY i)) AS context_md5
     FROM g GROUP BY run_id"""
 )
 def rag_context(spark, sf_dir):
