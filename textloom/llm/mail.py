@@ -181,24 +181,25 @@ class SemiMarkov:
         lengths = {k: cache(f"rlen{k}", _ZERO) for k in (1, 2, 4, 8, 16)}
         marks = {k: cache(f"rmarked{k}", _ZERO) * _IS_Q for k in ("none", "some", "all")}
         count = np.r_[0, np.cumsum([k == "marked" for k in mail.kind])]
+        head = np.array(lead) + np.array(intro) - total[:-1]
+        size_of = np.minimum(LONGEST, np.arange(LONGEST + 1))
+        by_size = np.array([lengths[1 if z <= 1 else 2 if z == 2 else 4 if z <= 4 else 8 if z <= 8 else 16] for z in size_of])
+        mark_rows = np.array([marks["none"], marks["some"], marks["all"]])
+        enter = np.zeros((n, len(PARTS)))
+        source = np.full((n, len(PARTS)), -1)
+        enter[0] = self.move[-1]
         for hi in range(1, n + 1):
-            for lo in range(max(0, hi - LONGEST), hi):
-                size = hi - lo
-                m = count[hi] - count[lo]
-                score = total[hi] - total[lo] + lead[lo] + intro[lo] + tail[hi - 1]
-                score = score + lengths[1 if size == 1 else 2 if size == 2 else 4 if size <= 4 else 8 if size <= 8 else 16]
-                score = score + marks["none" if not m else "all" if m == size else "some"]
-                if lo == 0:
-                    value, source = self.move[-1], np.full(len(PARTS), -1)
-                else:
-                    every = best[lo][:, None] + self.move[:-1]
-                    source = every.argmax(0)
-                    value = every[source, np.arange(len(PARTS))]
-                value = value + score
-                better = value > best[hi]
-                best[hi] = np.where(better, value, best[hi])
-                back[hi, better, 0] = lo
-                back[hi, better, 1] = source[better]
+            at = np.arange(max(0, hi - LONGEST), hi)
+            m = count[hi] - count[at]
+            score = enter[at] + head[at] + by_size[hi - at] + mark_rows[np.where(m == 0, 0, np.where(m == hi - at, 2, 1))]
+            pick = score.argmax(0)
+            best[hi] = score[pick, _EACH] + total[hi] + tail[hi - 1]
+            back[hi, :, 0] = at[pick]
+            back[hi, :, 1] = source[at[pick], _EACH]
+            if hi < n:
+                every = best[hi][:, None] + self.move[:-1]
+                source[hi] = every.argmax(0)
+                enter[hi] = every[source[hi], _EACH]
         out, hi, part = [], n, int(best[n].argmax())
         while hi > 0:
             lo, before = back[hi, part]
@@ -248,6 +249,7 @@ class SemiMarkov:
 
 
 _ZERO = np.zeros(len(PARTS))
+_EACH = np.arange(len(PARTS))
 _IS_S = np.array([p == "S" for p in PARTS], float)
 _IS_Q = np.array([p == "Q" for p in PARTS], float)
 

@@ -344,6 +344,8 @@ class Writer:
             lines += [self.pick(["E-mail: ", "net: ", "", "Internet: "]) + mail] * self.chance(0.6)
             lines += [f"{self.street()}, {self.name()}"] * self.chance(0.4)
             lines += [f'"{MARK.sub(lambda m: m[2], self.sentence(lang))}"'] * self.chance(0.4) if lines else []
+            if self.chance(0.35):  # two fields on a line
+                lines = [" | ".join(lines[i : i + 2]) for i in range(0, len(lines), 2)]
             add("S", *lines)
             blank(0.4)
         if self.chance(0.3):
