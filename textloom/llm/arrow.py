@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def range_tasks(df: DataFrame, rows: int, per_task: int = 40_000, least: int = 12) -> int:
+def range_tasks(df: DataFrame, rows: int, per_task: int = 40_000, least: int = 1) -> int:
     """Tasks for about ``rows`` rows, a number that follows the data."""
     return max(least, min(100_000, -(-rows // per_task)))
 
