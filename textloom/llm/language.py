@@ -186,40 +186,55 @@ def segments(network: ByteNetwork, texts: list[str]) -> list[list[tuple[int, str
             for part in windows(body[a:b]):
                 owner.append((t, k))
                 parts.append(part)
-    scores = network.log_probabilities(_matrix(parts)) if parts else np.zeros((0, len(LANGUAGES)))
-    table = [np.zeros((len(s), len(LANGUAGES))) for s in spans]
-    for (t, k), row in zip(owner, scores):
-        table[t][k] += np.maximum(row, FLOOR)
+    scores = network.log_probabilities(_matrix(parts)) if parts else np.zeros((0, len(LANGUAGES)), np.float32)
+    first = np.cumsum([0, *map(len, spans)])
+    every = np.zeros((first[-1], len(LANGUAGES)))
+    if owner:
+        np.add.at(every, [first[t] + k for t, k in owner], np.maximum(scores, FLOOR))
+    known = every.any(1)
+    every = np.maximum(every - every.max(1, keepdims=True), FLOOR) if len(every) else every
+    share = np.exp(every)
+    share /= share.sum(1, keepdims=True)
+    leader = np.where(known, every.argmax(1), -1) if len(every) else np.zeros(0, int)
     out = []
-    for s, e in zip(spans, table):
-        if not len(s) or not e.any():
+    for t, s in enumerate(spans):
+        lo, hi = first[t], first[t + 1]
+        told = known[lo:hi]
+        if not told.any():
             out.append([])
             continue
-        e = np.maximum(e - e.max(1, keepdims=True), FLOOR)
-        best, back = e[0].copy(), []
-        for row in e[1:]:
-            moved = int(best.argmax())
-            stay = best >= best[moved] - SWITCH
-            back.append(np.where(stay, np.arange(len(best)), moved))
-            best = np.where(stay, best, best[moved] - SWITCH) + row
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
-        p = np.exp(e) / np.exp(e).sum(1, keepdims=True)
-        told = e.any(1)
-        runs: list[tuple[int, str, float]] = []
-        lo = 0
-        for i in range(1, len(path) + 1):
-            if i == len(path) or path[i] != path[lo]:
-                known = [p[j, path[lo]] for j in range(lo, i) if told[j]]
-                start = next((j for j in range(lo, i) if told[j]), lo) if lo else 0
-                runs.append((s[start][0] if lo else 0, LANGUAGES[path[lo]], round(float(np.mean(known)), 4) if known else 0.0))
-                lo = i
-        out.append(runs)
+        said = set(leader[lo:hi][told].tolist())
+        # one language leads everywhere: no path can be better
+        path = [said.pop()] * (hi - lo) if len(said) == 1 else _path(every[lo:hi])
+        out.append(_runs(path, s, told, share[lo:hi]))
     return out
 
 
+def _path(e: np.ndarray) -> list[int]:
+    """Best languages of the sentences where each change costs SWITCH."""
+    best, back = e[0].copy(), []
+    for row in e[1:]:
+        moved = int(best.argmax())
+        stay = best >= best[moved] - SWITCH
+        back.append(np.where(stay, np.arange(len(best)), moved))
+        best = np.where(stay, best, best[moved] - SWITCH) + row
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
+
+
+def _runs(path: list[int], spans: list[tuple[int, int]], told: np.ndarray, share: np.ndarray) -> list[tuple[int, str, float]]:
+    runs, lo = [], 0
+    for i in range(1, len(path) + 1):
+        if i == len(path) or path[i] != path[lo]:
+            known = [j for j in range(lo, i) if told[j]]
+            start = spans[known[0] if known else lo][0] if lo else 0
+            runs.append((start, LANGUAGES[path[lo]], round(float(share[known, path[lo]].mean()), 4) if known else 0.0))
+            lo = i
+    return runs
+
+
 def languages(docs: DataFrame, network: ByteNetwork, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, seg_start, lang, confidence, n_segments, given) for every stretch of every document.
 
