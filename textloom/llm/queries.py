@@ -128,4 +128,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p9_found, p9_clean, p10_found, p1_found, p1_mix, p2_found, p2_classes, p7_found, p7_masked, p6_found, p6_text, p5_found, p8_containers)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT a AS doc_a, b AS doc_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 2 * c >= x.n + y.n - c""",
+    "p3_found": """WITH RECURSIVE v AS (SELECT DISTINCT ON (entry_id) entry_id AS id, embedding::DOUBLE[] AS e FROM cache_entries WHERE entry_id IS NOT NULL AND len(embedding) = 128
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    u AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS w FROM v),
+    l AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND round(list_dot_product(x.w, y.w), 6) >= 0.75),
+    r(id, k) AS (SELECT DISTINCT a, a FROM l UNION SELECT l.b, r.k FROM r JOIN l ON l.a = r.id WHERE l.b > r.k)
+    SELECT min(k) AS cluster_key, id AS entry_id FROM r GROUP BY id""",
+}
