@@ -22,7 +22,7 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and three most typical members of every cluster."""
     from textloom.llm.vectors import similarity_clusters
 
-    members = similarity_clusters(_table(spark, sf_dir, "cache_entries"), "entry_id", "embedding")
+    members = similarity_clusters(_table(spark, sf_dir, "cache_entries"), "entry_id", "embedding", split=True)
     return members.where("typical_rank <= 3").groupBy("cluster_key", "size").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("typical_rank", "entry_id"))), lambda x: x.entry_id).alias("typical")
     )
