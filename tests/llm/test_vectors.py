@@ -87,3 +87,23 @@ def test_nothing_to_compare(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     assert most_similar(df, "entry_id", "embedding").count() == 0
     assert similarity_clusters(df, "entry_id", "embedding").count() == 0
+
+
+def test_a_cluster_beyond_a_block_has_one_key(spark):
+    rows, _ = families(groups=3)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for split in (False, True):
+        got = {(r.cluster_key, r.entry_id, r.size) for r in similarity_clusters(df, "entry_id", "embedding", block_rows=5, split=split).collect()}
+        assert got == {(i // 8 * 8, i, 8) for i in range(24)}
+
+
+def test_exact_links_join_the_blocks_of_a_chain(spark):
+    from textloom.llm.components import components
+    from textloom.llm.vectors import _exact_links, usable
+
+    # neighbours only are 0.75 or more alike
+    angles = np.deg2rad(np.arange(9) * 30)
+    chain = [(100 + i, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 126, None) for i, a in enumerate(angles)]
+    vecs = usable(spark.createDataFrame(chain, SCHEMA), "entry_id", "embedding").withColumn("key", F.lit(0).cast("bigint"))
+    made = {(r.id, r.component) for r in components(_exact_links(vecs, 0.75, 128, 4)).collect()}
+    assert made == {(100 + i, 100) for i in range(9)}

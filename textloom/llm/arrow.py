@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from textloom.plans.storage import stored
 
 
 def range_tasks(df: DataFrame, rows: int, per_task: int = 40_000, least: int = 1) -> int:
@@ -66,5 +69,28 @@ def in_groups(
     return parted.mapInArrow(run, schema)
 
 
+def in_whole_groups(
+    df: DataFrame, counts: DataFrame, key: str, id_col: str, tasks: int, schema: str, fn: Callable[[pa.Table], pa.RecordBatch | None], most: int
+) -> DataFrame:
+    """Apply ``fn`` so that any two rows of a ``key`` meet in some call.
+
+    counts: (key, count) of every key. A key of at most ``most`` rows is one call. The rows of a longer one are
+    dealt by the hash of ``id_col`` into blocks of somewhat less than half of ``most``, and every two blocks
+    make one call, so a hot key spreads over tasks and memory per call stays near that of ``most`` rows.
+    Repeated rows of an id in a longer key count once.
+    """
+    long = stored(counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") * 2.2 / most).cast("int").alias("blocks")))
+    if long.isEmpty():
+        return in_groups(df, key, [id_col], tasks, schema, fn, most, whole=True)
+    short = df.join(long, key, "left_anti")
+    dealt = df.join(long, key).dropDuplicates([key, id_col]).withColumn("block", F.expr(f"cast(pmod(xxhash64({id_col}, 5), blocks) as int)"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")))
+    cell = F.xxhash64(key, F.least("block", "with"), F.greatest("block", "with"))
+    dealt = dealt.withColumn(key, cell).select(*df.columns)
+    cells = long.agg(F.sum(F.expr("blocks * (blocks - 1) / 2"))).first()[0]
+    met = in_groups(dealt, key, [id_col], range_tasks(df, int(cells), 8, 12), schema, fn, 1 << 40, whole=True)
+    return in_groups(short, key, [id_col], tasks, schema, fn, most, whole=True).union(met)
+
+
 def batches_of(out: dict[str, list | np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)

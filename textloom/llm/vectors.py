@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.arrow import in_groups, range_tasks
+from textloom.llm.arrow import in_groups, in_whole_groups, range_tasks
 from textloom.llm.components import components
 from textloom.plans.storage import stored
 
@@ -380,6 +380,14 @@ def _exact_parts(x: np.ndarray, least: float, block: int = 512) -> np.ndarray:
     return label
 
 
+def _within(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """How many rows of ``y`` each row of ``x`` reaches."""
+    out = np.zeros(len(x), int)
+    for s in range(0, len(x), 512):
+        out[s : s + 512] = (x[s : s + 512] @ y.T >= least).sum(1)
+    return out
+
+
 def _around_medoids(u: np.ndarray, label: np.ndarray, least: float) -> np.ndarray:
     """Labels after each part is split around its members of highest degree."""
     out, made = np.empty(len(u), int), 0
@@ -387,31 +395,32 @@ def _around_medoids(u: np.ndarray, label: np.ndarray, least: float) -> np.ndarra
     order = np.argsort(label, kind="stable")
     for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
         left = rows
+        degree = _within(low[left], low[left], least)
         while left.size:
-            degree = np.zeros(len(left), int)
-            for s in range(0, len(left), 512):
-                degree[s : s + 512] = (low[left[s : s + 512]] @ low[left].T >= least).sum(1)
             top = left[degree.argmax()]
             near = np.round(u[left] @ u[top], 6) >= least
             near[left == top] = True
             out[left[near]] = made
             made += 1
+            degree = degree[~near] - _within(low[left[~near]], low[left[near]], least)
             left = left[~near]
     return out
 
 
-def _checked(links: DataFrame, vecs: DataFrame, least: float, dim: int) -> DataFrame:
-    """The links whose exact cosine reaches ``least``."""
+def _exact_links(members: DataFrame, least: float, dim: int, block_rows: int) -> DataFrame:
+    """(a, b) links that connect, within each key of ``members`` (id, vec, key), what cosines of ``least`` connect."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = matrix(batch.column(2), dim), matrix(batch.column(3), dim)
-            keep = np.round((unit(x) * unit(y)).sum(1), 6) >= least if len(x) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+    def link(t: pa.Table) -> pa.RecordBatch | None:
+        ids = t.column("id").to_numpy()
+        if len(ids) < 2:
+            return None
+        _, first, label = np.unique(_exact_parts(matrix(t.column("vec"), dim), least), return_index=True, return_inverse=True)
+        a, b = ids, ids[first][label]
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=out)
 
-    with_a = links.join(vecs.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a")
-    both = with_a.join(vecs.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
-    return both.select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint")
+    counts = members.groupBy("key").count()
+    return in_whole_groups(members, counts, "key", "id", range_tasks(members, 12), "a bigint, b bigint", link, block_rows)
 
 
 def similarity_clusters(
@@ -427,19 +436,20 @@ def similarity_clusters(
     ``closeness`` is the mean cosine to the cluster's centre, by which the most typical members
     are ranked (ties: smaller id).
 
-    Unusable vectors and entries alone: no row. The links of a loose component beyond ``block_rows`` are verified one by one
-    instead, and what remains connected is its clusters, described in runs of that length.
+    Unusable vectors and entries alone: no row. A loose component beyond ``block_rows`` is parted by single
+    linkage within every two of its blocks, and the parts are joined; a cluster that large is described in one
+    call, whose memory grows by about 2 KB a member.
     """
     rows = df.count()
     vecs = usable(df, id_col, vec_col, dim)
-    links = stored(candidate_links(vecs, rows, dim=dim))
-    loose = components(links)
-    giant = loose.groupBy("component").count().where(F.col("count") > block_rows).select("component")
-    if not (giant := stored(giant)).isEmpty():
+    loose = components(stored(candidate_links(vecs, rows, dim=dim)))
+    giant = stored(loose.groupBy("component").count().where(F.col("count") > block_rows).select("component"))
+    loose = loose.select("id", "component", F.lit(False).alias("linked"))
+    if not giant.isEmpty():
         loose = stored(loose)
-        inside = loose.join(giant, "component", "left_semi").select("id")
-        checked = _checked(links.join(inside.withColumnRenamed("id", "a"), "a", "left_semi"), vecs, least, dim)
-        loose = stored(loose.join(giant, "component", "left_anti").select("id", "component").union(components(checked)))
+        inside = vecs.join(loose.join(giant, "component", "left_semi").select("id", F.col("component").alias("key")), "id")
+        exact = components(stored(_exact_links(inside.select("id", "vec", "key"), least, dim, block_rows)))
+        loose = stored(loose.join(giant, "component", "left_anti").select("id", "component", "linked").union(exact.select("id", "component", F.lit(True))))
     placed = vecs.join(loose, "id").withColumnRenamed("component", "key").dropDuplicates(["id"])
     out = pa.schema(
         [("cluster_key", pa.int64()), ("entry_id", pa.int64()), ("size", pa.int64()), ("typical_rank", pa.int64()), ("closeness", pa.float64())]
@@ -451,7 +461,7 @@ def similarity_clusters(
             return None
         order = np.argsort(ids)
         ids, x = ids[order], matrix(t.column("vec"), dim)[order]
-        label = _exact_parts(x, least)
+        label = np.zeros(len(ids), int) if t.column("linked")[0].as_py() else _exact_parts(x, least)
         u = unit(x)
         if split:
             label = _around_medoids(u, label, least)
@@ -475,6 +485,6 @@ def similarity_clusters(
 
     return in_groups(
         placed, "key", ["id"], range_tasks(df, rows, 15_000),
-        "cluster_key bigint, entry_id bigint, size bigint, typical_rank bigint, closeness double", part, block_rows, whole=True,
+        "cluster_key bigint, entry_id bigint, size bigint, typical_rank bigint, closeness double", part, 1 << 40, whole=True,
     )
 
