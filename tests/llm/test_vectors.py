@@ -107,3 +107,13 @@ def test_exact_links_join_the_blocks_of_a_chain(spark):
     vecs = usable(spark.createDataFrame(chain, SCHEMA), "entry_id", "embedding").withColumn("key", F.lit(0).cast("bigint"))
     made = {(r.id, r.component) for r in components(_exact_links(vecs, 0.75, 128, 4)).collect()}
     assert made == {(100 + i, 100) for i in range(9)}
+
+
+def test_long_band_buckets_are_linked_whole(spark):
+    from textloom.llm.components import components
+    from textloom.llm.vectors import candidate_links, usable
+
+    rows, _ = families(groups=1, size=1)
+    vecs = usable(spark.createDataFrame([(i, rows[0][1], None) for i in range(21)], SCHEMA), "entry_id", "embedding")
+    made = {(r.id, r.component) for r in components(candidate_links(vecs, 21, block_rows=2)).collect()}
+    assert made == {(i, 0) for i in range(21)}

@@ -347,11 +347,24 @@ def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: i
         code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
         order = np.argsort(ids)
         ids, code = ids[order], code[order]
+        # rows of one code hang on the first of them
+        code, first, same = np.unique(code, axis=0, return_index=True, return_inverse=True)
+        same = same.reshape(-1)
+        again = np.flatnonzero(first[same] != np.arange(len(ids)))
         i, j = _forest(code, most)
+        i, j = np.concatenate([first[i], again]).astype(int), np.concatenate([first[j], first[same[again]]]).astype(int)
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], schema=out)
 
     entries = vecs.mapInArrow(emit, "key bigint, code binary, id bigint")
-    return in_groups(entries, "key", ["code"], range_tasks(vecs, rows * n, 250_000), "a bigint, b bigint", link, block_rows)
+    counts = entries.groupBy("key").count()
+    return in_whole_groups(entries, counts, "key", "id", range_tasks(vecs, rows * n, 250_000), "a bigint, b bigint", link, block_rows)
+
+
+def copies(vecs: DataFrame) -> DataFrame:
+    """(id, first): every id but the smallest one of each vector, and that one."""
+    hashed = vecs.select("id", F.xxhash64("vec").alias("h"))
+    first = hashed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
+    return hashed.join(first, "h").where("id <> first").select("id", "first").distinct()
 
 
 def _exact_parts(x: np.ndarray, least: float, block: int = 512) -> np.ndarray:
@@ -442,7 +455,9 @@ def similarity_clusters(
     """
     rows = df.count()
     vecs = usable(df, id_col, vec_col, dim)
-    loose = components(stored(candidate_links(vecs, rows, dim=dim)))
+    same = stored(copies(vecs))
+    apart = vecs.join(same.select("id"), "id", "left_anti") if not same.isEmpty() else vecs
+    loose = components(stored(candidate_links(apart, rows, dim=dim).union(same)))
     giant = stored(loose.groupBy("component").count().where(F.col("count") > block_rows).select("component"))
     loose = loose.select("id", "component", F.lit(False).alias("linked"))
     if not giant.isEmpty():
