@@ -117,3 +117,14 @@ def test_long_band_buckets_are_linked_whole(spark):
     vecs = usable(spark.createDataFrame([(i, rows[0][1], None) for i in range(21)], SCHEMA), "entry_id", "embedding")
     made = {(r.id, r.component) for r in components(candidate_links(vecs, 21, block_rows=2)).collect()}
     assert made == {(i, 0) for i in range(21)}
+
+
+def test_neighbours_in_a_bucket_of_many_near_copies(spark):
+    rows, x = families(groups=12, size=4)
+    rng = np.random.default_rng(4)
+    more = (x[0] + rng.normal(size=(150, 128)) * 0.002).astype(np.float32)
+    rows = rows + [(48 + i, v.tolist(), None) for i, v in enumerate(more)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.id, r.other) for r in most_similar(df, "entry_id", "embedding", block_rows=20).collect()}
+    true = brute(np.vstack([x, more.astype(np.float64)]))
+    assert len(got & true) >= 0.98 * len(true)

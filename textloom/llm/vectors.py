@@ -120,7 +120,20 @@ def _best(x: np.ndarray, ids: np.ndarray, k: int, least: float) -> tuple[np.ndar
     for s in range(0, len(ids), 512):
         sims = low[s : s + 512] @ low.T
         sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -2
-        i, j = np.nonzero(sims >= least - 1e-4)
+        near = sims >= least - 1e-4
+        if near.sum() > 64 * len(sims):
+            # among many near ones the k best are picked by the exact values, ties by the order of ids
+            c = np.round(u[s : s + 512] @ u.T, 6)
+            c[np.arange(len(c)), np.arange(s, s + len(c))] = -2
+            kth = np.partition(c, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k), None]
+            more, tie = c > kth, c == kth
+            keep = (more | (tie & (tie.cumsum(1, dtype=np.int32) <= k - more.sum(1, keepdims=True)))) & (c >= least)
+            i, j = np.nonzero(keep)
+            out_a.append(ids[i + s])
+            out_b.append(ids[j])
+            out_c.append(c[i, j])
+            continue
+        i, j = np.nonzero(near)
         if not len(i):
             continue
         order = np.lexsort((-sims[i, j], i))
@@ -162,8 +175,8 @@ def most_similar(
     A PCA rotation refined towards sign corners gives each vector a code of ``substrings``
     substrings; each substring is an index. Rows that agree on a substring meet, so every code
     within a Hamming radius of ``substrings - 1`` is retrieved (pigeonhole), and the floats
-    of all that meet are compared in double precision. A bucket longer than ``block_rows``
-    is cut by the order of the remaining code. Copies of one vector beyond the k + 1 smallest
+    of all that meet are compared in double precision, those of a bucket longer than ``block_rows``
+    in blocks of which every two meet. Copies of one vector beyond the k + 1 smallest
     ids are answered from those, so a vector held by a third of the rows costs no more than one.
 
     Nulls, wrong lengths, zero or non-finite vectors: no row. Ties: the smaller id. Repeated
@@ -194,13 +207,7 @@ def most_similar(
             bit = (rotation.project(x) > 0).astype(np.int64)
             code = bit.reshape(len(x), m, bits) @ weights
             for j in range(m):
-                rest = np.zeros(len(x), np.int64)
-                for o in range(1, m):
-                    rest = (rest << min(bits, 20)) ^ code[:, (j + o) % m]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(code[:, j] * m + j), pa.array(rest), batch.column(0), batch.column(1)],
-                    ["key", "rest", "id", "vec"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(code[:, j] * m + j), batch.column(0), batch.column(1)], ["key", "id", "vec"])
 
     out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
 
@@ -212,12 +219,9 @@ def most_similar(
         a, b, c = _best(matrix(t.column("vec"), dim)[first], ids, k + has_spare, least)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], schema=out)
 
-    entries = live.mapInArrow(emit, "key bigint, rest bigint, id bigint, vec binary")
-    # few, large buckets: they stay whole, unless one outgrows a block
-    hot = not entries.groupBy("key").count().where(F.col("count") > block_rows).limit(1).isEmpty()
-    met = in_groups(
-        entries, "key", ["rest", "id"], range_tasks(df, rows * m, 20_000), "id bigint, other bigint, cosine double", best, block_rows, whole=not hot
-    )
+    entries = live.mapInArrow(emit, "key bigint, id bigint, vec binary")
+    counts = entries.groupBy("key").count()
+    met = in_whole_groups(entries, counts, "key", "id", range_tasks(df, rows * m, 20_000), "id bigint, other bigint, cosine double", best, block_rows)
     top = (
         met.groupBy("id")
         .agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), F.col("other").alias("other")))).alias("o"))
