@@ -1,11 +1,12 @@
 import os
+import random
 
 import pytest
 
-from textloom.llm.language import train
 from textloom.llm.packing import TOKENIZER, BestFit, pack, token_counts
 from textloom.llm.practice import MARK, Writer
-from textloom.llm.responses import copied, defects, empty, requested, truncated
+from textloom.llm.components import components
+from textloom.llm.responses import copied, defects, empty, linked, requested, tongues_for, truncated
 
 RUNS = "run_id bigint, query string, rewritten_query string, answer string, defect string"
 
@@ -15,18 +16,24 @@ def said(writer, lang, n=3):
 
 
 @pytest.fixture(scope="module")
-def network(spark):
+def docs(spark):
     w = Writer(2)
     rows = [(i, said(w, lang, 5), lang) for i, lang in enumerate(["en", "de", "fr", "es", "pt"] * 150)]
-    return train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
 
 
-def test_defects(spark, network):
+UNLIKE = [
+    "Where do swallows spend the winter?", "How long should rice be cooked?", "Which bridge over the river is older?", "Who invented the zip fastener?",
+    "Can two magnets ever cancel out?", "Why are old violins so expensive?", "What did people eat at sea?", "Is the ferry running on Sundays?",
+]
+
+
+def test_defects(spark, docs):
     w = Writer(8)
     query = "Why does nobody ever compare the numbers of the old engine with the weather?"
     rows = [(i, f"{query} {i}", None, said(w, "en"), None) for i in range(60)]
     refusal = "I am sorry but that is nothing I may talk about here."
-    rows += [(100 + i, f"What happens to the lens number {i} of the stadium?", None, refusal, None) for i in range(12)]
+    rows += [(100 + i, q, None, refusal, None) for i, q in enumerate(UNLIKE)]
     rows += [
         (200, query, None, None, None), (201, query, None, " \n", None), (202, query, None, "<answer></answer>", None), (203, query, None, "N/A", None),
         (210, query, None, query.upper(), None), (211, "x", query, f"Q: {query} {query}", None),
@@ -35,21 +42,48 @@ def test_defects(spark, network):
         (241, query, None, query + " " + said(w, "en"), None), (242, query, None, "```\nset level 4\n```", None), (None, query, None, None, None), (250, None, None, "Fine as it is.", None),
     ]
     df = spark.createDataFrame(rows + rows[60:64], RUNS)
-    got = {r.run_id: r.defect for r in defects(df, network).where("run_id >= 100").collect()}
-    want = {100 + i: "refusal" for i in range(12)} | dict.fromkeys([200, 201, 202, 203], "empty") | {210: "copied_question", 211: "copied_question", 220: "wrong_language", 230: "truncated"}
+    got = {r.run_id: r.defect for r in defects(df, tongues_for(df, docs)).where("run_id >= 100").collect()}
+    want = {100 + i: "refusal" for i in range(8)} | dict.fromkeys([200, 201, 202, 203], "empty") | {210: "copied_question", 211: "copied_question", 220: "wrong_language", 230: "truncated"}
     assert got == want
 
 
+def test_an_answer_to_related_prompts_only_is_no_refusal(spark, docs):
+    fixed = "The ferry leaves at eight and comes back at noon."
+    same = [(i, "When does the ferry leave?", None, fixed, None) for i in range(40)]
+    near = [(100 + i, f"When does the ferry number {i} of the company leave?", None, fixed.replace("ferry", "boat"), None) for i in range(12)]
+    df = spark.createDataFrame(same + near, RUNS)
+    assert defects(df, tongues_for(df, docs)).count() == 0
+
+
+def test_three_unrelated_prompts_reveal_a_refusal_at_any_size(spark, docs):
+    rng = random.Random(9)
+    for n in (20, 1500):
+        rows = [(i, f"{UNLIKE[i % 8]} {i}", None, "The " + " ".join(f"w{rng.randrange(300)}" for _ in range(9)) + ".", None) for i in range(n)]
+        rows += [(10_000 + i, UNLIKE[i], None, "I must leave that question without any reply.", None) for i in range(3)]
+        df = spark.createDataFrame(rows, RUNS)
+        got = {r.run_id for r in defects(df, tongues_for(df, docs)).where("defect = 'refusal'").collect()}
+        assert got == {10_000, 10_001, 10_002}
+
+
+def test_links_are_the_same_in_small_blocks(spark):
+    base = "i am afraid that is beyond my knowledge".split()
+    openings = [" ".join(base[:k] + [f"w{k}{v}"] + base[k + 1 :]) for k in range(8) for v in range(6)]
+    df = spark.createDataFrame(list(enumerate(openings)), "id bigint, opening string")
+    made = [{(r.id, r.component) for r in components(linked(df, 48, block_rows=b)).collect()} for b in (1024, 4)]
+    assert made[0] == made[1] == {(i, 0) for i in range(48)}
+
+
 def test_checks():
     assert empty(None) and empty("​") and empty("**") and not empty("No.") and not empty("42")
     assert requested("Wer weiß das? Bitte auf Spanisch antworten.") == "es" and requested("Where is the German engine?") is None
-    assert copied("where is it", ["Where is it?"]) and not copied("It.", ["Where is it?"])
+    assert copied("where is it", [["where", "is", "it"]]) and not copied("It.", [["where", "is", "it"]]) and copied("WEISS ER ES", [["weiß", "er", "es"]])
     assert truncated("It is the", set()) and truncated("It is, because,", set()) and not truncated("- one thing\n- another thing", {"the"})
     assert truncated("- One thing.\n- Another thing.\n- A third", {"the"}) and not truncated("See this. :-)", set())
 
 
-def test_no_runs(spark, network):
-    assert defects(spark.createDataFrame([], RUNS), network).count() == 0
+def test_no_runs(spark, docs):
+    df = spark.createDataFrame([], RUNS)
+    assert defects(df, tongues_for(df, docs.limit(0))).count() == 0
 
 
 def test_best_fit_takes_the_smallest_space():

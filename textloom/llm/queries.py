@@ -115,10 +115,10 @@ def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.responses import defects, network_for
+    from textloom.llm.responses import defects, tongues_for
 
     runs = _table(spark, sf_dir, "rag_runs")
-    return defects(runs, network_for(runs, _table(spark, sf_dir, "documents")))
+    return defects(runs, tongues_for(runs, _table(spark, sf_dir, "documents")))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

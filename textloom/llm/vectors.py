@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrow import in_groups, in_whole_groups, range_tasks
-from textloom.llm.components import components
+from textloom.llm.components import components, thinned
 from textloom.plans.storage import stored
 
 DIM = 128
@@ -282,20 +282,6 @@ def _bands(bits: np.ndarray, r: int, n: int, seed: int = 11) -> np.ndarray:
     return keys
 
 
-def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def _forest(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of a block that connect whatever all its verified pairs connect."""
     n = len(code)
@@ -308,19 +294,7 @@ def _forest(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         keep = p + s > q
         i.append(p[keep] + s)
         j.append(q[keep])
-    i, j = np.concatenate(i), np.concatenate(j)
-    if not len(i):
-        return i, j
-    first = np.r_[True, i[1:] != i[:-1]]  # the least neighbour of each row
-    kept_i, kept_j = [i[first]], [j[first]]
-    while True:
-        label = _labels(n, np.concatenate(kept_i), np.concatenate(kept_j))
-        apart = label[i] != label[j]
-        if not apart.any():
-            return np.concatenate(kept_i), np.concatenate(kept_j)
-        _, one = np.unique(np.maximum(label[i], label[j])[apart], return_index=True)
-        kept_i.append(i[apart][one])
-        kept_j.append(j[apart][one])
+    return thinned(n, np.concatenate(i), np.concatenate(j))
 
 
 def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: int = DIM, block_rows: int = 4096) -> DataFrame:
