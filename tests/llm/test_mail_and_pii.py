@@ -32,7 +32,7 @@ def model():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.train(pii.labelled_table()[:3500], epochs=4)
+    return pii.train(pii.labelled_table()[::2])
 
 
 def test_newly_written_lines(spark, model):
@@ -85,3 +85,19 @@ def test_masking(spark, tagger):
     assert got[3] == ("", 0) and set(got) == {1, 3, 4}
     assert [(r.pii_type, r.start_pos, r.end_pos) for r in pii.found(df, tagger, "t", "row_id").where("row_id = 1").collect()] == [("email", 20, 47)]
     assert pii.found(spark.createDataFrame([], schema), tagger, "t", "row_id").count() == 0
+
+
+def test_senders_teach_names(tagger):
+    post = "From: {0} <{1}@x.example>\nSubject: boats\nMessage-ID: <{2}.55@x.example>\n\nAs {0} told us, the boat is late.\nAsk {3} or {4}, the number is somewhere else.\n\n{3}"
+    people = [("Quorra Lindquax", "Quorra"), ("Bastik Umbrell", "Bastik"), ("Teshi Vondrake", "Teshi")]
+    texts = [post.format(full, f"u{i}", 7_000_000 + i, short, f"Dr. {people[i - 1][0].split()[1]}") for i, (full, short) in enumerate(people)]
+    assert pii.senders(texts) == ({"quorra", "bastik", "teshi"}, {"lindquax", "umbrell", "vondrake"})
+    named = set()
+    for raw, labels in pii.taught(texts, tagger):
+        named |= {w.strip() for w, k in zip(raw, labels) if k in (1, 2)}
+    assert {"Quorra", "Lindquax", "Bastik", "Umbrell", "Teshi", "Vondrake"} <= named and not {"boat", "As", "x", "Subject"} & named
+
+
+def test_training_without_mails(spark):
+    df = spark.createDataFrame([(1, None, None)], POST)
+    assert pii.Finder(pii.train_on(df)).find(["nothing here"]) == [[]]

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.practice import CLOSE, GIVEN, NOTICES, OPEN, Writer, unmarked
+from textloom.llm.practice import Writer, unmarked
 
 PARTS = ["H", "A", "Q", "S", "D"]  # header, authored, quoted or included, closing and signature, notices and added lines
 LONGEST = 48  # lines of a run that the model scores at once; longer runs are several
 POSTS = 700
-_SPLIT = re.compile(r"\r\n|\n|\r")
+_SPLIT = re.compile(r"\r?\n")
 _MAIL = re.compile(r"[\w.+-]+@[\w.-]+")
 _HEAD = re.compile(r"^[A-Za-zÀ-ÿ][\w-]{1,20} ?: ?\S")
 _MARK = re.compile(r"^ ?(?:[>|}]|: |[A-Z]{1,3}> ?)")
@@ -23,10 +23,23 @@ _VERBS = re.compile(r"\b(wrote|writes|said|put it|quoting|schrieb|zitat|a écrit
 _DELIMITER = re.compile(r"^(--\s*|[_*=~#+-]{6,}\s*|~~~.*)$")
 _INCLUDED = re.compile(r"^-{3,} ?\S.*\S ?-{3,}$")
 _NAME = re.compile(r"^\s*-?\s*(?:[A-ZÀ-Ý][\w'-]+|[A-Z]\.)(?: (?:[A-Z]\.|[A-ZÀ-Ý][\w'-]+)){0,2}\s*$")
-_CLOSINGS = {x.strip(" ,").lower() for v in CLOSE.values() for x in v} | {"greetings", "sincerely", "kind regards", "bis bald", "mfg", "a bientot", "hasta luego", "abraços"}
-_OPENINGS = {x.strip(" ,:!").lower() for v in OPEN.values() for x in v}
-_NOTICE_WORDS = {w for v in NOTICES.values() for n in v for w in re.findall(r"[^\W\d_]{4,}", n.lower())} - {"this", "from", "your"}
-_GIVEN = {g.lower() for g in GIVEN}
+# fixed values: usual greetings, closing formulas and words of notices in the five languages
+_OPENING = re.compile(
+    r"(hi|hello|hey|dear|greetings|good (morning|afternoon|evening|day)|hallo|guten (tag|morgen|abend)|liebe[rs]?|sehr geehrte[r]?|servus|moin|bonjour|bonsoir|salut|chère?s?|coucou"
+    r"|hola|buen[oa]s (días|tardes|noches)|estimad[oa]s?|querid[oa]s?|olá|oi|bom dia|boa (tarde|noite)|car[oa]s?|prezad[oa]s?)\b"
+)
+_CLOSING = re.compile(
+    r"((with |my )?(best|kind|warm|many)? ?(regards|wishes)|sincerely|yours( truly| sincerely| faithfully)?|cheers|(many )?thanks( in advance| again| a lot)?|thank you|take care|later|see you|ttfn|ciao|bye|greetings"
+    r"|mit (freundlich|best|herzlich|lieb)en grüßen|mit (freundlich|best)em gruß|(viele|liebe|beste|schöne)? ?grüße|gruß|mfg|lg|tschüs+|bis (bald|dann|später)|danke"
+    r"|(bien )?cordialement|amicalement|bien à vous|[àa] bient[ôo]t|(meilleures )?salutations|merci( d'avance)?|(un |muchos )?saludos?( cordiales)?|(muy )?atentamente|(un |um )?abra[zç]os?|gracias|hasta (luego|pronto)"
+    r"|(com os melhores )?cumprimentos|atenciosamente|obrigad[oa]|até (breve|logo))[ ,.!]*"
+)
+_NOTICE = re.compile(
+    r"\b(opinions?|views|employer|disclaimer|confiden\w+|privileged|intended|recipient|addressee|notify|sender|liab\w+|responsib\w+|legal|advice|attachments?|unauthori[sz]ed|disclosure|delete|destroy|mistake|owners|staff"
+    r"|vertraulich|empfänger|adressat\w*|irrtümlich\w*|löschen|vernichten|absender|haftung|meinung|nachricht|confidentiel\w*|destinataire|erreur|détrui\w+|expéditeur|responsab\w+|réservé"
+    r"|confidencia\w*|destinat[aá]rio|error|elim\w+|remit\w+|remetente|engano|apag\w+|opini\w+)\b"
+)
+_ORG = re.compile(r"\b[A-Z][\w-]+ (Inc|Corp|Ltd|Lda|GmbH|AG|SA|SL|University|College|Institute|Lab\w*|Systems|Research|Group|Software|Electronics|Computing|Works|Company)\b")
 
 
 def lines_of(text: str) -> list[str]:
@@ -49,9 +62,9 @@ def _kind(line: str) -> str:
     low = body.lower()
     if _VERBS.search(low) and (low.endswith(":") or low.endswith("wrote") or re.search(r"\d[\d:. ]*\w* ?\w*$", low) and len(low) < 70):
         return "attribution"
-    if low.strip(" ,.!") in _CLOSINGS:
+    if _CLOSING.fullmatch(low):
         return "closing"
-    if low.strip(" ,:!") in _OPENINGS or re.match(r"^(?:(?:hi|hello|hallo|salut|hola|olá|dear|liebe[r]?|bonjour) )?[^\W\d_]+[,:!]$", low) and any(g in _GIVEN for g in re.findall(r"\w+", low)):
+    if len(low) < 40 and (_OPENING.match(low) and re.search(r"[,:!]$", low) or re.match(r"^[A-ZÀ-Ý][\w-]+[,:!]$", body)):
         return "opening"
     if _HEAD.match(body) and not re.match(r"^(p\.?s|contact|kontakt|contacto)", low):
         if re.match(r"^(ph|phone|tel|voice|fax|net|e-?mail|internet|mail|web)\b", low):
@@ -69,8 +82,7 @@ def _kind(line: str) -> str:
         return "name"
     if re.search(r"\b\w+-request\b", low) and len(low) < 70:
         return "list"
-    words = re.findall(r"[^\W\d_]{4,}", low)
-    if len(words) >= 3 and sum(w in _NOTICE_WORDS for w in words) >= 0.6 * len(words):
+    if (told := len(set(_NOTICE.findall(low)))) >= 2 and told * 40 >= len(low):
         return "notice"
     if re.match(r"^[-*•] |^\d+[.)] ", body):
         return "item"
@@ -104,6 +116,7 @@ class Mail:
         first_blank = next((i for i, x in enumerate(every) if not x.strip()), len(every))
         self.headed = [i < first_blank and k in ("header", "field", "indented", "prose", "addressed") for i, k in zip(self.number, self.kind)]
         self.block = bool(n) and self.headed[0] and self.kind[0] in ("header", "field")
+        self.notice = self._notices()
         ends = [x.rstrip()[-1:] in ".!?:;…\"')]" for x in self.lines]
         self.emit: list[list[str]] = []
         after_included = included = after_delimiter = False
@@ -120,6 +133,8 @@ class Mail:
             pad = len(self.lines[t]) - len(self.lines[t].lstrip())
             f = [k, f"{k}<{before}", f"{k}>{after}", f"{k}|{self.gap[t]:d}", f"{k}|{size}", f"{k}|start{_start(self.lines[t])}", f"pad{min(pad, 5)}|{before}|{self.gap[t]:d}"]
             f.append(f"head{self.headed[t] and self.block:d}")
+            f.append(f"block{self.notice[t]}|{k == 'notice':d}")
+            f.append(f"told{min(2, len(_NOTICE.findall(self.lines[t].lower()))):d}|{self.gap[t]:d}|{before}")
             f.append(f"inc{included:d}{k}")
             f.append(f"sig{after_delimiter:d}|{k}|{self.gap[t]:d}")
             f.append(f"close{after_closing:d}|{k}|{self.gap[t]:d}")
@@ -135,6 +150,17 @@ class Mail:
                 after_closing = False
                 after_delimiter = False
 
+    def _notices(self) -> list[str]:
+        """For each line how much its paragraph sounds like a notice: its words, whether it names an organization, its size."""
+        out: list[str] = []
+        lo = 0
+        for t in range(1, len(self.lines) + 1):
+            if t == len(self.lines) or self.gap[t] or (self.kind[t] in ("marked", "armour", "delimiter", "attribution")) != (self.kind[lo] in ("marked", "armour", "delimiter", "attribution")):
+                text = " ".join(self.lines[lo:t])
+                out += [f"{min(4, len(set(_NOTICE.findall(text.lower()))))}{bool(_ORG.search(text)):d}{'s' if len(text) < 120 else 'm' if len(text) < 240 else 'l'}"] * (t - lo)
+                lo = t
+        return out
+
     def whole(self, lo: int, hi: int, part: str) -> list[str]:
         """Features of lines lo..hi - 1 as one run: its length, borders and make-up."""
         n = hi - lo

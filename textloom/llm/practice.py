@@ -1,7 +1,7 @@
 """Labelled practice table: invented prose and mail whose parts and personal data are known.
 
-Models for mail parts and personal data are trained on this table only. A place of personal data
-is written ``⟦kind|text⟧``.
+Written without regard to any table: its wordings, names and words are everyday ones. A place of personal data is
+written ``⟦kind|text⟧``. The models of mail parts and personal data start from it.
 """
 
 from __future__ import annotations
@@ -10,115 +10,92 @@ import re
 
 import numpy as np
 
-# fixed values: invented given names and surnames of the corpus
 GIVEN = (
-    "Anselm Dana Liesel Tamsin Tobin Caspar Levko Mirela Rurik Corwin Vida Kerra Marlo Amadi Sanna Jorund Maud Otis "
-    "Zoran Petra Elio Fenna Bram Iker Hollis Odile Ines Noor Yara Renske"
+    "Anna Peter Maria Thomas Julia Robert Laura Michael Sophie Daniel Emma David Clara Martin Elena Paul Alice George Irene Victor Helen Frank Simon Rosa Hugo Marta "
+    "Louis Karin Stefan Ingrid Pierre Camille Antoine Lucia Carlos Teresa Pedro Luisa Miguel Beatriz Heike Monika Wolfgang Kurt Yusuf Priya Kenji Olga Dmitri Aisha"
 ).split()
 SURNAMES = (
-    "Dravik Ettelby Fabrizond Drumheath Pemberlin Castellar Merrowick Brindlow Hallowind Stellvag Quillmore "
-    "Ashgrove-Pell Wintermoor Vexley Harrowby Tansgate Sorrenko Kolvarin Oskarval Lontaine"
+    "Smith Miller Johnson Brown Taylor Wilson Clark Walker Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Dubois Moreau Laurent Garnier Garcia Martinez Lopez "
+    "Fernandez Navarro Silva Santos Pereira Costa Almeida Novak Kowalski Jensen Larsson Yilmaz Sharma Tanaka Petrov Smith-Jones Rossi Murphy"
 ).split()
-_A = "Bel Cra Dal Dri El Fen Fos Gri Hol Jas Kel Kor Lor Mav Mun Nor Pel Quin Ros Sel Tra Tur Vel Vor Wes Zan".split()
-_B = "be da ga gu hi ka lu ma mo ne pe ra ri ro ry so ta ti vi zo".split()
-_C = "bel dor gan kart lin lo mar mus nd nex ron rt rylin ston tec tis vik x zond".split()
 MARK = re.compile("⟦([a-z_]+)\\|([^⟧]*)⟧")
 
+# {p} person or other people, {c} contact, {w} thing, {x} product or place, {o} organization, {n} number, {k} other identifier
 FRAMES = {
     "en": [
-        "The old {w} worked better than anything {x} has {w} {t}.", "Has anyone here {w} a {w} {w} with the {x}?",
-        "Some say the {w} is {w}; the {w} we {w} says otherwise.", "{p} claims that every {w} needs a {w}, but mine never had one.",
-        "Why would {p} trust a {w} {w} over a proper {w}?", "What really bothers me is the {w}, since {p} {w} it without asking.",
-        "The numbers from {x} show {n} cases where a {w} was {w}.", "We compared {n} samples and found the {w} more {w} than the {w}.",
-        "Last I heard, {x} had {n} of them, each with its own {w}.", "According to the {x} notes, a {w} may replace the {w} {t}.",
-        "If you want a {w} {w}, look at what {x} did {t}.", "Does the {x} handle a {w} when the {w} is {w}?",
-        "You will need at least {n} of these, plus the {w} that {p} {w}.", "Flames go to the bin, as {p} likes to say.",
-        "Just my two cents, and {p} will surely disagree.", "The weather in {x} has been dreadful {t}, by the way.",
-        "Posting again because {p} saw only half of it.", "Could somebody forward this to {p}?", "Nothing to add except a nod to {p}.",
-        "{p} asked me to post this from {x}.", "Ask for {p}, {c}.", "You can reach me at {c} most days.", "Send it to {c} please.",
-        "For the record, it was {c} on the form.", "Contact: {c}", "I kept {n} of the older messages in case anybody wants them.",
-        "My account at {x} expires in {n} days.", "The {w} was {w} about {n} times before the {w} gave out. (ref {r})",
-        "{t} I tried to write from {x} but {x} lost the whole thing.", "Let me quote the relevant bit: a {w} is {w} until the {w} is {w}. <{m}>",
-        "Mine came with a {w}, a {w} and one rather {w} {w}. [{v}]", "They call it {w} over there in {x}. (ISBN {i})",
-        "As far as I can tell, {x} only offers the {w} {w}.", "Both the {w} and the {w} were {w} {t}.", "My guess is that the {w} and the {w} were never meant to be {w} together.", "I {w} the {w} {t} and the {w} still looks {w}.", "There is no {w} in {x} that could be called {w}. {u}", "Please mail me directly, our feed drops about {n} percent of everything.",
-        "Read the {n} pages of {o} first.", "{p} {w} it.", "Hope to see a few of you in {x} when {x} opens its doors.", "{p} still owes me {n} copies. [{q} points]", "Path: {h}", "Sorry, {p}, this is for {p}.", "Anyway, that is how it went {t}.",
-        "Thanks to everyone who wrote back, I got {n} replies {t}.", "More details {t} when I am back from {x}.", "Could the keeper of the {x} archive please drop me a line?", "Yours truly has been lurking here for {n} weeks, greetings from {x}.",
+        "Yesterday {p} showed us a new {w} from {x}.", "I asked {p} whether our {w} could be repaired by Monday.", "My {w} broke after {n} weeks of heavy use.",
+        "Nobody at {o} would tell {p} what this {w} costs.", "Write to {c} if your {w} arrives late.", "Mail us at {c} at any hour.", "Her number used to be {c} until May.", "They had {c} printed on the label.", "For questions call {c} before noon.", "You find my details below: {c}",
+        "The form listed {c} under my old address.", "We bought our {w} in {x} during a sale.", "{p} thinks that buying {w} parts from {x} is foolish.", "Our {w} needs {n} hours to cool down.",
+        "It seems {x} stopped selling every {w} they had.", "Does anybody know whether {p} will bring a {w} along?", "Please tell {p} that I found both keys.", "See {k} for a longer list.",
+        "This was fixed in {k}, or so they claim.", "Most of us prefer tea over coffee while reading {k}.", "{p} and {p} met near {x} last autumn.", "Trains to {x} leave at {n} minutes past the hour.",
+        "Let us know how your {w} behaves under rain.", "I would never lend a {w} to {p} again.", "They moved {n} boxes into the {w} room at {o}.", "When my {w} failed, {p} lent me hers.",
+        "Grandmother kept her {w} beside an open window.", "Children played with a {w} until supper.", "{p} signed it.", "Ask {p} for help.",
     ],
     "de": [
-        "Man sagt, der {w} sei {w}, doch {p} glaubt das nicht.", "Vielleicht kann {p} erklären, was das {w} mit {x} zu tun hat.",
-        "{p} war damals in {x} und grüßt euch alle.", "{p} hat mich gebeten, das weiterzugeben.", "In {x} kostet so etwas {n} Mark, und der {w} ist dabei.", "Seit {n} Tagen warte ich, ob der {w} oder die {w} besser wird.",
-        "Der {w} und die {w} gehören zusammen, meint {p}.", "Bei {x} ist der {w} angeblich {w}, aber {n} Leute sehen das anders.",
-        "Fragt einfach nach {p}, {c}.", "Erreichbar bin ich unter {c}, meistens abends.", "Kontakt: {c}", "Ich habe {n} Mal nachgesehen, und jedes Mal war der {w} {w}.",
-        "Zum Schluss ein Gruß an {p} und an alle in {x}.", "Wer den Ordner von {x} hat, möge sich melden. (ISBN {i})", "Entweder ist die {w} {w} oder der {w} stimmt nicht. (ref {r})",
+        "Gestern zeigte uns {p} das neue {w} aus {x}.", "Ich fragte {p}, ob man mein {w} bis Montag reparieren könnte.", "Nach {n} Wochen ging mein {w} kaputt.", "Bitte ruft {c} an, wenn das Paket fehlt.",
+        "Schreiben Sie an {c}, falls etwas unklar ist.", "Meine Daten lauten wie folgt: {c}", "Niemand bei {o} wollte {p} den Preis nennen.", "Wir kauften ein {w} in {x} für wenig Geld.",
+        "{p} findet, dass jedes {w} von {x} zu schwer ist.", "Kommt {p} morgen auch mit dem Zug?", "Siehe dazu {k} im Anhang.", "{p} und {p} trafen sich letzten Herbst am See.", "Das {w} braucht {n} Stunden zum Abkühlen.",
+        "Die Kinder spielten bis zum Abend mit einem {w}.",
     ],
     "fr": [
-        "D'après {p}, le {w} compte davantage que la {w}.", "Sans aucun doute, le {w} sera {w} quand {p} viendra.", "J'ai vérifié {n} fois, et le {w} reste {w}.",
-        "{p} m'a demandé de transmettre ceci.", "{p} était à {x} et vous salue.", "Chez {x}, la {w} est {w} pour {n} personnes.", "Ce qui me gêne, c'est que le {w} coûte {n} francs à {x}.", "Voici ce que {x} raconte : la {w} serait {w}.",
-        "Demandez {p}, {c}.", "On me joint au {c}, plutôt le soir.", "Contact : {c}", "Pour finir, un salut à {p} et à tous ceux de {x}.", "Personne à {x} ne comprend comment le {w} a pu changer. <{m}>",
+        "Hier {p} nous a montré un nouveau {w} de {x}.", "J'ai demandé à {p} si mon {w} serait réparé lundi.", "Mon {w} est tombé en morceaux après {n} semaines.", "Appelez {c} si le colis manque.",
+        "Écrivez à {c} pour toute question.", "Mes coordonnées sont : {c}", "Chez {o}, personne n'a donné le prix à {p}.", "Nous avons acheté un {w} à {x} pendant les soldes.",
+        "{p} trouve que chaque {w} de {x} pèse trop lourd.", "Est-ce que {p} viendra demain en train ?", "Voir aussi {k} en annexe.", "{p} et {p} se sont vus l'automne dernier.", "Les enfants ont joué avec un {w} jusqu'au soir.",
     ],
     "es": [
-        "Según {p}, la {w} importa más que el {w}.", "Sin duda el {w} estará {w} cuando llegue {p}.", "Con {x}, la {w} sigue {w} para {n} personas.",
-        "Lo que me molesta es que el {w} cuesta {n} pesetas en {x}.", "Nadie en {x} entiende cómo el {w} pudo cambiar la {w}.", "{p} estuvo en {x} y manda saludos.", "{p} me ha pedido que envíe esto.", "Esto cuenta {x}: que el {w} quedó {w} {t}.",
-        "Pregunten por {p}, {c}.", "Me encuentran en {c} casi siempre.", "Contacto: {c}", "Un saludo para {p} y para todos en {x}.", "Llevamos {n} días esperando el {w}. (ref {r})",
+        "Ayer {p} nos enseñó un {w} nuevo de {x}.", "Pregunté a {p} si mi {w} estaría arreglado el lunes.", "Mi {w} se rompió a las {n} semanas.", "Llame a {c} si falta el paquete.",
+        "Escriban a {c} para cualquier duda.", "Mis datos son estos: {c}", "En {o} nadie quiso decir el precio a {p}.", "Compramos un {w} en {x} durante las rebajas.", "{p} cree que cada {w} de {x} pesa demasiado.",
+        "¿Vendrá {p} mañana en tren?", "Véase también {k} en el anexo.", "{p} y {p} se vieron el otoño pasado.", "Los niños jugaron con un {w} hasta la cena.",
     ],
     "pt": [
-        "Segundo {p}, a {w} vale mais do que o {w}.", "Não há dúvida de que o {w} vai estar {w} quando chegar {p}.", "{p} esteve em {x} e manda cumprimentos.", "{p} pediu-me que enviasse isto.", "Com {x}, o {w} continua {w} para {n} pessoas.",
-        "Foi isto que {x} contou: que o {w} ficou {w}.", "O que me aborrece é que a {w} custa {n} escudos em {x}.", "Há {n} dias que esperamos por tudo isto, o {w} e também a {w}.",
-        "Perguntem por {p}, {c}.", "Encontram-me em {c} quase sempre.", "Contacto: {c}", "Um abraço para {p} e para todos em {x}.", "Já vi isso {n} vezes e o {w} ainda não ficou {w}. [{v}]",
+        "Ontem {p} mostrou-nos um {w} novo de {x}.", "Perguntei a {p} se o meu {w} estaria pronto na segunda.", "O meu {w} partiu-se ao fim de {n} semanas.", "Ligue para {c} se faltar a encomenda.",
+        "Escrevam para {c} em caso de dúvida.", "Os meus dados são estes: {c}", "Na {o} ninguém quis dizer o preço a {p}.", "Comprámos um {w} em {x} durante os saldos.", "{p} acha que cada {w} de {x} pesa demais.",
+        "Será que {p} vem amanhã de comboio?", "Ver também {k} em anexo.", "{p} e {p} encontraram-se no outono passado.", "As crianças brincaram com um {w} até ao jantar.",
     ],
 }
 WORDS = {
-    "en": "lens comet crater engine rusty stadium coach parser library recursive altar sermon cabinet ballot invoice wholesale judge verdict unlawful vaccine tablet benign driver battery plugged braked lobbied scored measured treated prayed compiled orbital a friend yesterday season".split(),
-    "de": "Komet Krater Motor Bremse Stadion Liga Zeiger Bibliothek Altar Gebet Minister Wahl Rechnung Richter Urteil Tablette Impfung veraltet fehlerhaft umstritten zuverlässig".split(),
-    "fr": "comète cratère moteur frein stade ligue pointeur menu autel prière ministre scrutin facture juge verdict comprimé vaccin inutile fiable impossible".split(),
-    "es": "cometa cráter motor freno estadio liga puntero menú altar oración ministro voto factura juez sentencia pastilla vacuna retraso control".split(),
-    "pt": "cometa cratera motor travão estádio liga ponteiro menu altar oração ministro voto fatura juiz sentença comprimido vacina atraso controlo".split(),
+    "en": "kettle ladder bicycle lamp radio camera garden oven jacket piano kitchen carpet hammer printer clock mirror pump shelf basket wheel".split(),
+    "de": "Fahrrad Regal Radio Klavier Messer Fenster Werkzeug Zelt Boot Sofa Telefon Hemd Buch Rad Dach".split(),
+    "fr": "vélo tapis piano couteau marteau miroir four manteau panier bateau téléphone livre jardin réveil".split(),
+    "es": "reloj espejo martillo horno abrigo cesto barco teléfono libro jardín cuchillo piano tapete".split(),
+    "pt": "relógio espelho martelo forno casaco cesto barco telefone livro jardim tapete piano".split(),
 }
-TIMES = {
-    "en": ["yesterday", "last week", "since spring", "before the move", "over the weekend", "by accident", "in the end"],
-    "de": ["gestern"], "fr": ["hier"], "es": ["ayer", "hace poco"], "pt": ["ontem"],
-}
 OTHERS = {
-    "en": ["a friend of mine", "my brother", "the moderator", "a colleague", "some expert", "our neighbour", "my advisor"],
-    "de": ["eine Kollegin", "ein Bekannter", "mein Bruder", "der Moderator", "unser Nachbar"],
-    "fr": ["une collègue", "un ami", "mon frère", "le modérateur", "notre voisin"],
-    "es": ["una compañera", "un amigo", "mi hermano", "el moderador", "nuestro vecino"],
-    "pt": ["uma colega", "um amigo", "meu irmão", "o moderador", "o nosso vizinho"],
-}
-TITLES = ["Dr.", "Prof.", "Mr.", "Ms."]
-STREETS = ["Street", "Road", "St.", "Lane", "Avenue", "Rd.", "Ave", "Ave.", "Court", "Drive", "Way", "Close"]
+    "en": ["my cousin", "the teacher", "her uncle", "our boss", "a student", "the captain"], "de": ["meine Tante", "der Lehrer", "unsere Chefin", "ein Student"],
+    "fr": ["ma tante", "le professeur", "notre patronne", "un étudiant"], "es": ["mi tía", "el profesor", "nuestra jefa", "un alumno"], "pt": ["a minha tia", "o professor", "a nossa chefe", "um aluno"],
+}
+TITLES = ["Dr.", "Prof.", "Mr.", "Mrs.", "Ms.", "Herr", "Frau", "Dr", "Mr"]
+STREETS = "Street St. St Road Rd. Rd Avenue Ave. Ave Lane Ln Drive Dr. Court Ct Way Close Square Boulevard Blvd".split()
 OPEN = {
-    "en": ["Hello,", "Hi all,", "Greetings netters!", "Hello everybody,"], "de": ["Hallo zusammen,", "Liebe Leute,", "Guten Tag,"],
-    "fr": ["Bonjour,", "Bonjour à tous,", "Salut à tous,"], "es": ["Hola a todos:", "Buenas tardes,", "Estimados:"], "pt": ["Olá a todos,", "Boa tarde,"],
+    "en": ["Hi,", "Hello there,", "Good morning everyone,", "Dear list,", "Hey folks!"], "de": ["Hallo,", "Guten Morgen,", "Liebe Runde,", "Moin!"], "fr": ["Bonsoir,", "Salut,", "Chers amis,"],
+    "es": ["Hola,", "Buenos días:", "Queridos amigos:"], "pt": ["Olá,", "Bom dia,", "Caros amigos,"],
 }
 CLOSE = {
-    "en": ["Regards,", "Cheers,", "ttfn", "Yours truly,", "Best wishes", "Thanks in advance,", "Later,"],
-    "de": ["Viele Grüße", "Mit freundlichen Grüßen", "Gruß,", "Tschüs,", "Bis bald,"], "fr": ["Cordialement,", "Amicalement", "À bientôt,"],
-    "es": ["Saludos", "Un saludo,", "Atentamente,"], "pt": ["Um abraço", "Cumprimentos,", "Até breve,"],
+    "en": ["Regards,", "Kind regards", "Cheers,", "Thanks,", "Sincerely,", "Take care", "Bye,"], "de": ["Grüße", "Beste Grüße,", "Danke,", "MfG"], "fr": ["Salutations", "Merci,", "Bien à vous,"],
+    "es": ["Gracias,", "Un abrazo", "Saludos,"], "pt": ["Obrigado,", "Abraços", "Atenciosamente,"],
 }
 NOTICES = {
     "en": [
-        "The opinions above are mine alone and {o} had no hand in them.",
-        "DISCLAIMER: nothing here is advice, an offer or the view of {o}, its owners or its staff.",
-        "This message and any attachment are meant for the addressee only. If it reached you by mistake, delete it and tell the sender.",
-        "{o} accepts no liability for this posting, which may hold privileged material.",
+        "Views expressed are personal and do not bind {o} in any way.", "CONFIDENTIALITY NOTICE: this e-mail is privileged. If you are not its intended recipient, notify the sender and destroy every copy.",
+        "I do not speak for my employer {o}; all opinions are private.", "Unauthorised disclosure of this e-mail or its attachments is prohibited. {o} is not liable for viruses or loss.",
+        "Standard disclaimer: {o} neither knows nor approves of these statements, which are no legal advice.",
     ],
-    "de": ["Diese Nachricht ist nur für den Empfänger bestimmt. Wer sie irrtümlich erhält, möge sie löschen.", "Der Inhalt gibt nicht die Meinung der {o} wieder."],
-    "fr": ["Ce message est confidentiel et réservé à son destinataire. {o} décline toute responsabilité."],
-    "es": ["Este mensaje es confidencial y va dirigido solo a su destinatario. {o} no se hace responsable."],
-    "pt": ["Esta mensagem é confidencial e destina-se apenas ao destinatário. A {o} não se responsabiliza."],
+    "de": ["Vertraulich: Sollten Sie nicht der vorgesehene Adressat sein, informieren Sie bitte den Absender und vernichten Sie diese E-Mail.", "Meine Meinung ist privat, {o} übernimmt keine Haftung."],
+    "fr": ["Avis de confidentialité : si vous avez reçu ce courriel par erreur, prévenez l'expéditeur et détruisez-le.", "Opinions personnelles, {o} n'en est pas responsable."],
+    "es": ["Aviso de confidencialidad: si ha recibido este correo por error, avise al remitente y elimínelo.", "Opiniones personales, {o} no es responsable de ellas."],
+    "pt": ["Aviso de confidencialidade: se recebeu este correio por engano, avise o remetente e apague-o.", "Opiniões pessoais, pelas quais {o} não é responsável."],
+}
+HEADS = {
+    "en": ("From: {f}", "Sent: {d}", "To: {e}", "Subject: {s}"), "de": ("Von: {f}", "Gesendet: {d}", "An: {e}", "Betreff: {s}"), "fr": ("De : {f}", "Envoyé : {d}", "À : {e}", "Objet : {s}"),
+    "es": ("De: {f}", "Enviado: {d}", "Para: {e}", "Asunto: {s}"), "pt": ("De: {f}", "Enviada: {d}", "Para: {e}", "Assunto: {s}"),
+}
+INCLUDED = {
+    "en": ["-----Original Message-----", "----- Forwarded by mail -----", "---------- Start of forwarded text ----------"], "de": ["-----Weitergeleitete Nachricht-----"], "fr": ["-----Message transféré-----"],
+    "es": ["-----Mensaje reenviado-----"], "pt": ["-----Mensagem encaminhada-----"],
 }
-FORWARD = {
-    "en": ("---------- Forwarded message ----------", "----- Begin Included Message -----", "From: {f}", "Sent: {d}", "To: {e}", "Subject: {s}"),
-    "de": ("-----Ursprüngliche Nachricht-----", "-----Ursprüngliche Nachricht-----", "Von: {f}", "Gesendet: {d}", "An: {e}", "Betreff: {s}"),
-    "fr": ("-----Message d'origine-----", "-----Message d'origine-----", "De : {f}", "Envoyé : {d}", "À : {e}", "Objet : {s}"),
-    "es": ("-----Mensaje original-----", "-----Mensaje original-----", "De: {f}", "Enviado: {d}", "Para: {e}", "Asunto: {s}"),
-    "pt": ("-----Mensagem original-----", "-----Mensagem original-----", "De: {f}", "Enviada: {d}", "Para: {e}", "Assunto: {s}"),
-}
 SAID = {
-    "en": ["On {d}, {f} wrote:", "{f} wrote:", "{f} said {d}:", "As {f} put it on {d}:", "Quoting {g}:", "In article {k} {e} ({p}) writes:", "In {k}, {p} wrote:", "{b} writes:"],
-    "de": ["Am {d} schrieb {f}:", "{f} schrieb:", "Zitat von {f}:"], "fr": ["Le {d}, {f} a écrit :", "{f} a écrit le {d} :", "{f} a écrit :"],
-    "es": ["El {d}, {f} escribió:", "{f} escribió:"], "pt": ["Em {d}, {f} escreveu:", "{f} escreveu:"],
+    "en": ["On {d}, {f} wrote:", "On {d} {f} wrote", "{f} wrote:", "{f} writes:", "{f} said:", "In article {k}, {f} wrote:", "In message {k} {f} writes:", "{f} wrote on {d}:"],
+    "de": ["Am {d} schrieb {f}:", "{f} schrieb:", "{f} schrieb am {d}:"], "fr": ["Le {d}, {f} a écrit :", "{f} a écrit :"], "es": ["El {d}, {f} escribió:", "{f} escribió:"], "pt": ["Em {d}, {f} escreveu:", "{f} escreveu:"],
 }
 
 
@@ -138,96 +115,110 @@ class Writer:
         return "".join(str(int(x)) for x in self.rng.integers(0, 10, n))
 
     def name(self) -> str:
-        return self.pick(_A) + "".join(self.pick(_B) for _ in range(int(self.rng.integers(0, 3)))) + self.pick(_C)
+        """An unknown capitalised word."""
+        onset, vowel, coda = "b br c ch d dr f fl g gr h j k kl l m n p pl r s st t tr v w z".split(), "a e i o u ai ea ou".split(), ["", "", "n", "r", "l", "s", "t", "x", "m", "nd", "rk", "st"]
+        return "".join(self.pick(onset) + self.pick(vowel) + self.pick(coda) for _ in range(int(self.rng.integers(2, 4)))).capitalize()
 
     def thing(self) -> str:
-        tail = self.pick(["", "", "", f" {self.rng.integers(2, 999)}", f"-{self.pick('ABCDKXZ')}{self.rng.integers(2, 99)}"])
-        return self.name() + tail
+        return self.name() + self.pick(["", "", "", f" {self.rng.integers(2, 999)}", f"-{self.pick('ABCDEFGX')}{self.rng.integers(1, 99)}"])
 
     def org(self) -> str:
-        return f"{self.name()} {self.pick(['Labs', 'Computing', 'Institute', 'University', 'Laboratories', 'Ltd.', 'Works', 'GmbH', 'SA', 'SL', 'Lda.', 'Systems'])}"
+        return f"{self.name()} {self.pick('Inc. Corp. Ltd. University College Institute Group Systems Research GmbH AG SA Lda. Labs Software Electronics'.split())}"
 
     def person(self) -> tuple[str, str]:
-        return self.pick(GIVEN), self.pick(SURNAMES) if self.chance(0.6) else self.name()
+        return self.pick(GIVEN) if self.chance(0.6) else self.name(), self.pick(SURNAMES) if self.chance(0.4) else self.name()
 
     def shown(self, given: str, last: str, listed: bool = False) -> str:
-        form = self.pick(["{g} {s}"] * 5 + ["{g}", "{g}", "{g} {i}. {s}", "{h}. {s}", "{t}", "{t}"] + (["{s}, {g}"] if listed else []))
+        form = self.pick(["{g} {s}"] * 5 + ["{g}", "{g} {i}. {s}", "{h}. {s}", "{t}", "{t}"] + (["{s}, {g}"] * 2 if listed else []))
         if form == "{t}":
             return f"{self.pick(TITLES)} ⟦person_name|{last}⟧"
-        text = form.format(g=given, s=last, i=self.pick("ABCDEFHJKLMRST"), h=given[0])
-        return f"⟦person_name|{text.lower() if self.chance(0.06) else text}⟧"
+        text = form.format(g=given, s=last, i=self.pick("ABCDEFGHJKLMNPRSTW"), h=given[0])
+        return f"⟦person_name|{text.lower() if self.chance(0.05) else text.upper() if self.chance(0.04) else text}⟧"
 
     def host(self) -> str:
-        return f"{self.name().lower()}.{self.pick(['example', 'example.net', 'example.org', 'edu.example', 'invalid', 'test'])}"
+        return ".".join([self.name().lower(), *self.pick([["com"], ["org"], ["net"], ["example"], ["example", "com"], ["edu"], ["ac", "uk"], ["de"], ["example", "org"], ["test"], ["invalid"]])])
 
     def address(self, given: str, last: str) -> str:
         g, s = given.lower(), last.lower().replace("-", "")
-        user = self.pick([f"{g}.{s}", f"{g}_{s}", f"{s}{self.rng.integers(1, int(self.pick([10, 99])))}", f"{g[0]}{s}", f"{g}+news"])
-        return user + "@" + self.host()
+        return self.pick([f"{g}.{s}", f"{g}_{s}", f"{s}{self.rng.integers(1, 99)}", f"{g[0]}{s}", f"{g}{s[0]}", f"{g}+list", f"{g}-{s}"]) + "@" + self.host()
 
     def email(self, given: str, last: str, spelt: bool = True) -> str:
         mail = self.address(given, last)
-        if spelt and self.chance(0.3):
+        if spelt and self.chance(0.35):
+            at, dot = self.pick([(" (at) ", "."), ("(at)", "."), ("[at]", "[dot]"), (" AT ", " DOT "), (" at ", " dot "), (" (at) ", " (dot) "), ("[AT]", "[DOT]"), (" [at] ", " [dot] ")])
             user, _, host = mail.partition("@")
-            mail = self.pick(
-                [f"{user} (at) {host}", f"{user}[AT]{host.replace('.', '[DOT]')}", f"{user} at {host.replace('.', ' dot ')}", f"{user} (at) {host.replace('.', ' (dot) ')}"]
-            )
-        return f"⟦email|{mail}⟧"
+            mail = user + at + host.replace(".", dot)
+        return f"⟦email|{mail.upper() if spelt and self.chance(0.06) else mail}⟧"
 
     def phone(self) -> str:
-        a, c, d = self.rng.integers(200, 999), "555", "01" + self.digits(2)
+        d = self.digits
+        a, b = str(self.rng.integers(200, 999)), str(self.rng.integers(200, 999))
         text = self.pick(
-            [f"({a}) {c}-{d}", f"{a}-{c}-{d}", f"{a}.{c}.{d}", f"{a}{c}{d}", f"{a}{c}{d}", f"+1 {a} {c} {d}", f"1-{a}-{c}-{d}", f"020 7946 0{self.digits(3)}",
-             f"+44 20 7946 0{self.digits(3)}", f"030/23125 {self.digits(3)}", f"+49 30 23125{self.digits(3)}", f"01 99 00 {self.digits(2)} {self.digits(2)}", f"+33 1 99 00 {self.digits(2)} {self.digits(2)}"]
+            [f"({a}) {b}-{d(4)}", f"{a}-{b}-{d(4)}", f"{a}.{b}.{d(4)}", f"{a}{b}{d(4)}", f"+1 {a} {b} {d(4)}", f"1-{a}-{b}-{d(4)}", f"{a}/{b}-{d(4)}", f"020 7{d(3)} {d(4)}", f"+44 20 7{d(3)} {d(4)}", f"0{d(3)} {d(6)}",
+             f"0{d(2)}/{d(5)} {d(3)}", f"0{d(3)}/{d(6)}", f"+49 {d(2)} {d(8)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+351 {d(3)} {d(3)} {d(3)}"]
         )
         return f"⟦phone|{text}⟧"
 
     def number(self) -> str:
-        d = self.digits
-        label, text = self.pick(
-            [("SSN", f"9{d(2)}-{d(2)}-{d(4)}"), ("social security no.", f"000 {d(2)} {d(4)}"), ("NI number", f"QQ {d(2)} {d(2)} {d(2)} C"), ("passport", f"X{d(8)}"),
-             ("Ausweisnummer", f"Z{d(2)}{self.pick('LMX')}{d(5)}"), ("tax id", d(11)), ("DNI", f"{d(8)}-{self.pick('ABFKX')}"), ("NI number", f"QQ{d(6)}C"), ("NIF", d(9)), ("SSN", f"000-{d(2)}-{d(4)}")]
+        d, letter = self.digits, self.pick("ABCDEGHJKLMNPRSTXYZ")
+        labels, text = self.pick(
+            [(["SSN", "social security number", "social security no."], f"{d(3)}-{d(2)}-{d(4)}"), (["SSN", "Social Security"], f"{d(3)} {d(2)} {d(4)}"), (["NI number", "National Insurance"], f"{letter}Z {d(2)} {d(2)} {d(2)} {self.pick('ABCD')}"),
+             (["NI number", "NINO"], f"{letter}B{d(6)}{self.pick('ABCD')}"), (["passport", "passport no.", "Reisepass", "passeport", "pasaporte"], f"{letter}{d(8)}"), (["Ausweisnummer", "Personalausweis", "ID card"], f"{letter}{d(2)}{self.pick('KLMX')}{d(5)}"),
+             (["tax id", "Steuernummer", "tax number"], d(11)), (["DNI", "NIE"], f"{d(8)}-{letter}"), (["DNI"], f"{d(8)}{letter}"), (["NIF", "contribuinte"], d(9))]
         )
-        return f"{label}{self.pick([' is ', ': ', ' # ', ' ', ' is '])}⟦id_number|{text}⟧"
+        return f"{self.pick(labels)}{self.pick([' is ', ': ', ' # ', ' ', ' = '])}⟦id_number|{text}⟧"
 
     def street(self) -> str:
-        n, x = int(self.rng.integers(1, 990)), self.name()
-        old = self.pick(["Ferngate", "Copperhill", "Saltmere", "Old Kiln", "Willowfen", "Brackwater", "Hobbin", "Tanager", x])
+        n, x, y = int(self.rng.integers(1, 990)), self.name(), self.name()
         text = self.pick(
-            [f"{n} {old} {self.pick(STREETS)}"] * 4 + [f"{n} {old} {self.pick(STREETS)}, Apt {self.rng.integers(1, 60)}"] * 2 + [f"{n} rue {x}"] * 2 + [f"{n} bis, avenue {x}", f"Calle {x} {n}", f"Calle {x}, {n}",
-             f"Rua {x}, {n}", f"Rua {x}, {n}", f"Avenida {x} {n}", f"{x}strasse {n}", f"{x}str. {n}"] + [f"{x}straße {n}"] * 3 + [f"{x}weg {n}"] * 2
+            [f"{n} {x} {self.pick(STREETS)}"] * 4 + [f"{n} {self.pick(['Old', 'New', 'North', 'West'])} {x} {self.pick(STREETS)}"] * 2 + [f"{n} rue {self.pick(['', 'de ', 'du '])}{x}", f"{n}, rue {x}", f"{n} bis, rue {x}", f"{n} bis, avenue {x}", f"{n} avenue {x}"]
+            + [f"Calle {x} {n}", f"Calle {x}, {n}", f"Avenida {x}, {n}", f"Rua {x}, {n}", f"Rua {x} {n}", f"Avenida {x} {n}"] + [f"{x}straße {n}", f"{x}strasse {n}", f"{x}str. {n}", f"{x}weg {n}", f"{x}gasse {n}", f"{x}platz {n}"]
         )
-        text, cut, rest = text.partition(", Apt")
-        return f"⟦street_address|{text}⟧{cut}{rest}"
+        return f"⟦street_address|{text}⟧{self.pick(['', '', ', ' + y, f', Apt {self.rng.integers(1, 60)}', f', {self.digits(5)} {y}'])}"
 
     def contact(self) -> str:
         given, last = self.person()
         return self.pick([self.email, self.email, lambda *_: self.phone(), lambda *_: self.number(), lambda *_: self.street()])(given, last)
 
+    def identifier(self) -> str:
+        """What looks like personal data and is none."""
+        d = self.digits
+        return self.pick(
+            [f"<{d(6)}.{d(3)}@{self.host()}>", f"version {d(1)}.{d(1)}.{d(3)}", f"v{d(1)}.{d(2)}", f"ISBN {d(1)}-{d(4)}-{d(4)}-{d(1)}", f"(ISBN {d(13)})", f"ref. {d(3)}-{d(2)}-{d(4)}-{d(1)}", f"(ref {d(3)}-{d(2)}-{d(4)}-{d(1)})", f"invoice {d(7)}",
+             f"ftp://ftp.{self.host()}/pub/{self.name().lower()}", f"http://www.{self.host()}/{self.name().lower()}.html", f"{self.host()}", "!".join(self.name().lower() for _ in range(5)), f"[{self.rng.integers(2, 99)} {self.name()} points]", f"{self.rng.integers(2, 99)} {self.name()} stamps"]
+        )
+
+    def stray(self) -> str:
+        """A place, or what looks like one, among words without a bearing on it."""
+        lang = self.pick(list(FRAMES))
+        loose = [w for frame in FRAMES[lang] for w in re.findall(r"(?<![{\w])[^\W\d_]+(?![}\w])", frame)] + WORDS[lang]
+
+        def some() -> str:
+            return " ".join(self.pick(loose) if self.chance(0.7) else self.name() if self.chance(0.5) else self.name().lower() for _ in range(int(self.rng.integers(0, 5))))
+
+        given, last = self.person()
+        n = self.rng.integers
+        kind = self.pick(["name", "name", "email", "phone", "phone", "number", "street", "street", "none", "none"])
+        value = {
+            "name": lambda: self.shown(given, last, listed=True), "email": lambda: self.email(given, last), "phone": self.phone, "number": self.number, "street": self.street,
+            "none": lambda: self.pick([self.identifier(), self.thing(), str(n(1, 9999)), f"{n(1, 99)}.{n(1, 99)}", f"{n(1, 99)}-{n(1, 99)}", f"{self.name()} {self.name()}", self.date(), self.org(), f"{n(1, 13)}:{n(10, 60)}"]),
+        }[kind]()
+        return f"{some()}{self.pick([' ', ' ', ': ', ', ', chr(10), ' ('])}{value}{self.pick(['', ' ', '.', ', ', chr(10), ') '])}{some()}"
+
     def sentence(self, lang: str) -> str:
         out = self.pick(FRAMES[lang])
         while (m := re.search(r"\{(\w)\}", out)) is not None:
-            d = self.digits
-            kind = m.group(1)
             value = {
-                "w": lambda: self.pick(WORDS[lang]), "x": self.thing, "t": lambda: self.pick(TIMES[lang]), "n": lambda: str(self.rng.integers(2, 4999)), "c": self.contact,
-                "p": lambda: self.shown(*self.person(), listed=True) if self.chance(0.6) else self.pick(OTHERS[lang]),
-                "r": lambda: f"{d(3)}-{d(2)}-{d(4)}-{d(1)}", "m": lambda: f"{d(7)}.{d(3)}", "v": lambda: f"v{d(1)}.{d(1)}.{d(3)}", "i": lambda: f"{d(1)}-{d(4)}-{d(4)}-{d(1)}",
-                "u": lambda: f"ftp://ftp.{self.host()}/pub/{self.name().lower()}", "o": self.org, "h": lambda: "!".join(self.name().lower() for _ in range(8)),
-                "q": lambda: f"{self.rng.integers(2, 99)} {self.pick(['Old-Kiln', 'Ferngate', 'Copperhill'])}",
-            }[kind]()
+                "w": lambda: self.pick(WORDS[lang]), "x": self.thing, "n": lambda: str(self.rng.integers(2, 4999)), "c": self.contact, "o": self.org, "k": self.identifier,
+                "p": lambda: self.shown(*self.person(), listed=True) if self.chance(0.65) else self.pick(OTHERS[lang]),
+            }[m.group(1)]()
             out = out[: m.start()] + value + out[m.end() :]
-        out = out[0].upper() + out[1:]
-        if self.chance(0.06):
-            out = MARK.sub(lambda k: f"⟦{k[1]}|{k[2].upper()}⟧", MARK.sub(lambda k: "\0" + k[0] + "\0", out))
-            out = "".join(p if i % 2 else p.upper() for i, p in enumerate(re.split("\0(⟦.*?⟧)\0|\0", out)) if p is not None) if "\0" in out else out.upper()
-            out = re.sub("⟦([A-Z_]+)\\|", lambda k: "⟦" + k[1].lower() + "|", out)
-        return out
+        return out[0].upper() + out[1:]
 
     def date(self) -> str:
         n = self.rng.integers
         month = self.pick("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())
-        return self.pick([f"{n(1, 29)} {month} 1994", f"{n(1, 29)}.{n(1, 13)}.94", f"Tue, {n(1, 29)} {month} 94 {n(10, 24)}:{n(10, 60)} GMT"])
+        return self.pick([f"{n(1, 29)} {month} 2001", f"{n(1, 29)}.{n(1, 13)}.99", f"{n(1, 29)} {month} 98", f"Tue, {n(1, 29)} {month} 1999 {n(10, 24)}:{n(10, 60)}:{n(10, 60)} GMT", f"{month} {n(1, 29)}, 2003 at {n(1, 13)}:{n(10, 60)} PM", f"{n(1, 29)}/{n(1, 13)}/2004"])
 
     def wrapped(self, text: str, width: int) -> list[str]:
         """Lines of at most about ``width`` shown characters; a marked place is never split."""
@@ -242,88 +233,88 @@ class Writer:
             used += size + 1
         return [*lines, line] if line else lines
 
+    def identity(self, given: str, last: str, listed: bool = True) -> str:
+        """A correspondent as mailers show one."""
+        who, mail = self.shown(given, last, listed=listed), self.email(given, last, spelt=False)
+        return self.pick([who, who, f"{who} <{mail}>", f"{who} ({mail})", f"{mail} ({who})", mail])
+
     def said_by(self, lang: str) -> list[str]:
-        given, last = self.person()
-        who = self.shown(given, last, listed=True)
-        mail = self.email(given, last, spelt=False)
-        full = self.pick([who, who, f"{who} <{mail}>", f"{who} ({mail})"])
-        line = self.pick(SAID[lang]).format(
-            d=self.date(), f=full, g=full, p=self.shown(given, last), e=mail, b=f"{mail} ({who})", k=f"<{self.digits(int(self.rng.integers(5, 9)))}.{self.digits(int(self.rng.integers(2, 5)))}@{self.host()}>"
-        )
+        line = self.pick(SAID[lang]).format(d=self.date(), f=self.identity(*self.person()), k=f"<{self.digits(7)}.{self.digits(3)}@{self.host()}>")
         if self.chance(0.3):
-            m = re.search(r" (?=[<(]⟦email)| (?=\(⟦person)| (?=wrote|writes|schrieb:|escri|a écrit)", line)
-            if m:
-                return [line[: m.start()], line[m.end() :]]
+            # a mailer broke it; never within a place
+            at = [m.start() for m in re.finditer(" ", line) if line[: m.start()].count("⟦") == line[: m.start()].count("⟧")]
+            cuts = sorted(self.rng.choice(at, min(len(at), int(self.rng.integers(1, 3))), replace=False).tolist()) if at else []
+            edges = [0, *(c + 1 for c in cuts), len(line) + 1]
+            return [line[a : b - 1] for a, b in zip(edges, edges[1:])]
         return [line]
 
     def post(self) -> list[tuple[str, str]]:
         """(line, part) of one mail: H header, A written anew, Q quoted or included, S closing and signature, D notices."""
-        lang = self.pick(["en"] * 6 + ["de", "fr", "es", "pt"])
+        lang = self.pick(["en"] * 5 + ["de", "fr", "es", "pt"])
         given, last = self.person()
-        mail = self.email(given, last, spelt=False)
+        mail, who = self.email(given, last, spelt=False), f"⟦person_name|{given} {last}⟧"
         out: list[tuple[str, str]] = []
 
         def add(part: str, *lines: str) -> None:
             out.extend((line, part) for line in lines)
 
-        who = f"⟦person_name|{given} {last}⟧"
-        head = [
-            "From: " + self.pick([f"{who} <{mail}>", f"{mail} ({who})", mail]), f"Newsgroups: {self.pick(['comp', 'rec', 'sci', 'talk'])}.{self.name().lower()}",
-            self.pick(["Subject: ", "Subject: Re: ", "SUBJECT: Fwd: "]) + MARK.sub(lambda m: m[2], "How can a {} {} be {}?".format(*(self.pick(WORDS[lang]) for _ in range(3)))),
-            f"Date: {self.date()}", f"Message-ID: <{self.digits(int(self.rng.integers(5, 9)))}.{self.digits(int(self.rng.integers(2, 5)))}@{self.host()}>",
-        ]
-        head += [f"Lines: {self.rng.integers(2, 80)}"] * self.chance(0.5) + [f"Organization: {self.org()}"] * self.chance(0.5) + [f"Reply-To: {mail}"] * self.chance(0.3)
+        def prose(n: int) -> str:
+            return " ".join(self.sentence(lang) for _ in range(n))
+
+        def blank(p: float = 0.8) -> None:
+            if self.chance(p):
+                add(out[-1][1] if out else "A", *[""] * (1 + self.chance(0.15)))
+
+        subject = self.pick(["", "Re: ", "Fwd: "]) + f"{self.pick(WORDS[lang])} / {self.pick(WORDS[lang])}"
+        head = ["From: " + self.pick([f"{who} <{mail}>", f"{mail} ({who})", mail, who]), self.pick(["Subject: ", "SUBJECT: "]) + subject, f"Date: {self.date()}", f"Message-ID: <{self.digits(8)}.{self.digits(3)}@{self.host()}>"]
+        head += [f"Newsgroups: {self.name().lower()}.{self.name().lower()}"] * self.chance(0.5) + [f"Lines: {self.rng.integers(2, 80)}"] * self.chance(0.4) + [f"Organization: {self.org()}"] * self.chance(0.4)
+        head += [f"Reply-To: {mail}"] * self.chance(0.3) + [f"To: {self.identity(*self.person())}"] * self.chance(0.3) + [f"X-Mailer: {self.thing()}"] * self.chance(0.2)
         if self.chance(0.85):
             self.rng.shuffle(head)
             add("H", *head, self.pick(["", "", "  "]))
 
-        def prose(n: int) -> str:
-            return " ".join(self.sentence(lang) for _ in range(n))
-
         def authored(n: int) -> None:
             shape = self.rng.random()
             if shape < 0.15:
-                for _ in range(n):
+                marks = self.pick([["- "], ["* "], ["1) ", "2) ", "3) "], ["1. ", "2. ", "3. "]])
+                for k in range(n):
                     lines = self.wrapped(self.sentence(lang), 70)
-                    add("A", self.pick(["- ", "* ", "1) ", "2) "]) + lines[0], *("   " + x for x in lines[1:]))
-            elif shape < 0.3:
-                pad = self.pick(["   ", "  ", "     "])
+                    add("A", marks[k % len(marks)] + lines[0], *("   " + x for x in lines[1:]))
+            elif shape < 0.27:
+                pad = " " * int(self.rng.integers(2, 7))
                 add("A", *(pad + x for x in self.wrapped(prose(n), 64)))
-            elif shape < 0.5:
+            elif shape < 0.45:
                 add("A", prose(n))
-            elif shape < 0.55:
-                add("A", "if (count > 0) then it fails, everything > 0 does.", *self.wrapped(prose(n), 70))
+            elif shape < 0.52:
+                add("A", self.pick(["while (x > 1) x = x / 2;", "a[i] > b[i] for all i", "if size > 10: stop here"]), *self.wrapped(prose(n), 70))
             else:
-                add("A", *self.wrapped(prose(n), self.pick([56, 64, 72])))
+                add("A", *self.wrapped(prose(n), int(self.rng.integers(50, 78))))
 
-        def quoted(n: int, mark: str | None = None, intro: bool = True) -> None:
+        def quoted(n: int, intro: bool) -> None:
             if intro:
                 add("Q", *self.said_by(lang))
-            initials = self.pick("ABCDFHKLMNOPRSTVYZ") + self.pick("ABDEFHKLMOPQSTVW")
-            mark = mark or self.pick(["> ", "> ", ">", "| ", "}", ": ", initials + "> ", " > ", "> > ", "     " if intro else "> "])
-            lines = self.wrapped(prose(n), self.pick([50, 58, 66]))
-            for line in lines:
+                blank(0.1)
+            initials = self.pick("ABCDEFGHJKLMNPRSTW") + self.pick("ABCDEFGHJKLMNPRSTW")
+            mark = self.pick(["> ", "> ", ">", ">> ", "> > ", "| ", "} ", ": ", initials + "> ", " > ", "|", "}"] + ["     ", "    "] * intro)
+            for line in self.wrapped(prose(n), int(self.rng.integers(46, 68))):
                 words = line.split(" ")
-                if mark.strip() and len(words) > 4 and self.chance(0.07) and "⟦" not in line:
-                    add("Q", mark + " ".join(words[:-2]), " ".join(words[-2:]))
+                if mark.strip() and len(words) > 4 and self.chance(0.1) and "⟦" not in line:
+                    cut = int(self.rng.integers(1, 4))
+                    add("Q", mark + " ".join(words[:-cut]), " ".join(words[-cut:]))
+                elif mark.strip() and self.chance(0.04):
+                    add("Q", ">" + mark + line)
                 else:
                     add("Q", mark + line)
             if mark.strip() and self.chance(0.3):
                 add("Q", mark.rstrip())
 
-        def blank(p: float = 0.8) -> None:
-            if self.chance(p):
-                add(out[-1][1] if out else "A", "")
-                if self.chance(0.15):
-                    add(out[-1][1], "")
-
         if self.chance(0.4):
-            add("A", self.pick(OPEN[lang]) if self.chance(0.6) else self.pick(["", "Hi ", "Hello ", "Salut "]) + f"⟦person_name|{self.pick(GIVEN)}⟧,")
+            add("A", self.pick(OPEN[lang]) if self.chance(0.55) else self.pick(["", "", "Hi ", "Hello ", "Dear ", "Salut ", "Hola ", "Hallo "]) + f"⟦person_name|{self.person()[0]}⟧" + self.pick([",", ",", "!", ":"]))
             blank(0.4)
         for _ in range(int(self.rng.integers(1, 4))):
             kind = self.rng.random()
             if kind < 0.45:
-                quoted(int(self.rng.integers(1, 4)), intro=self.chance(0.75))
+                quoted(int(self.rng.integers(1, 4)), self.chance(0.75))
                 blank(0.75)
             if kind < 0.9:
                 authored(int(self.rng.integers(1, 4)))
@@ -332,38 +323,37 @@ class Writer:
             authored(2)
             blank()
         if self.chance(0.6):
-            add("S", self.pick(CLOSE[lang]), self.pick(["-", "", "  ", "-"]) + f"⟦person_name|{self.pick([given, given + ' ' + last, given[0] + '. ' + last])}⟧")
+            sign = self.pick([given, f"{given} {last}", f"{given[0]}. {last}"])
+            add("S", *[self.pick(CLOSE[lang])] * self.chance(0.9), self.pick(["", "", "-", "- ", "  "]) + f"⟦person_name|{sign}⟧")
             blank(0.6)
         if self.chance(0.12):
-            add("A", "P.S. " + self.sentence(lang))
+            add("A", self.pick(["P.S. ", "PS: ", "PS ", "P.S.: "]) + self.sentence(lang))
             blank(0.5)
         if self.chance(0.5):
-            add("S", self.pick(["--", "-- ", "____________________", "******************************", "=" * 40, "~~~ " + self.name() + " QWK v2.1", who]))
-            lines = [who if self.chance(0.6) else f"{who} | {self.org()}", self.org()]
-            lines += [self.pick(["ph# ", "voice ", "Phone: ", "Tel: ", ""]) + self.phone()] * self.chance(0.6)
-            lines += [self.pick(["E-mail: ", "net: ", "", "Internet: "]) + mail] * self.chance(0.6)
-            lines += [f"{self.street()}, {self.name()}"] * self.chance(0.4)
-            lines += [f'"{MARK.sub(lambda m: m[2], self.sentence(lang))}"'] * self.chance(0.4) if lines else []
-            if self.chance(0.35):  # two fields on a line
-                lines = [" | ".join(lines[i : i + 2]) for i in range(0, len(lines), 2)]
+            add("S", self.pick(["--", "-- ", "-- ", "_" * 24, "*" * 30, "=" * 36, "-=-=-=-=-=-", "~~~ " + self.name() + " mail v2.0", who]))
+            lines = [who if self.chance(0.6) else f"{who} | {self.org()}"] + [self.org()] * self.chance(0.7)
+            lines += [self.pick(["phone: ", "Tel. ", "Phone ", "Voice: ", "tel: ", "Ph: ", ""]) + self.phone()] * self.chance(0.5)
+            lines += [self.pick(["e-mail: ", "mail: ", "Email: ", ""]) + mail] * self.chance(0.6) + [self.street()] * self.chance(0.4)
+            lines += [f'"{MARK.sub(lambda m: m[2], self.sentence(lang))}"'] * self.chance(0.35)
+            if self.chance(0.35):
+                glue = self.pick([" | ", " / ", "   "])
+                lines = [glue.join(lines[i : i + 2]) for i in range(0, len(lines), 2)]
             add("S", *lines)
             blank(0.4)
         if self.chance(0.3):
-            add("D", *self.wrapped(self.pick(NOTICES[lang]).format(o=self.org()), self.pick([60, 72, 200])))
+            add("D", *self.wrapped(self.pick(NOTICES[lang]).format(o=self.org()), int(self.pick([58, 66, 74, 300]))))
             blank(0.3)
         late = self.rng.random()
         if late < 0.12:
-            _, _, f, d, e, s = FORWARD[lang]
             other = self.person()
-            who2 = self.shown(*other)
-            add("Q", FORWARD[lang][int(self.rng.integers(2))], f.format(f=f"{who2} <{self.email(*other, spelt=False)}>"), d.format(d=self.date()))
-            add("Q", *[e.format(e=mail)] * self.chance(0.7), s.format(s="How can a {} be {}?".format(self.pick(WORDS[lang]), self.pick(WORDS[lang]))), "", *self.wrapped(prose(2), 66))
+            f, d, e, s = HEADS[lang]
+            add("Q", self.pick(INCLUDED[lang]), f.format(f=self.identity(*other)), d.format(d=self.date()), *[e.format(e=mail)] * self.chance(0.7), s.format(s=subject), "", *self.wrapped(prose(2), 66))
             if self.chance(0.4):
-                add("Q", "", self.pick(CLOSE[lang]), "-" + f"⟦person_name|{other[0]}⟧")
+                add("Q", "", self.pick(CLOSE[lang]), self.pick(["-", ""]) + f"⟦person_name|{other[0]}⟧")
         elif late < 0.3:
-            quoted(int(self.rng.integers(1, 4)), intro=self.chance(0.5))
+            quoted(int(self.rng.integers(1, 4)), self.chance(0.5))
         if self.chance(0.15):
-            add("D", f"To leave this list, write to {self.name().lower()}-request")
+            add("D", self.pick([f"To unsubscribe send mail to {self.name().lower()}-request", f"You receive this through {self.name().lower()}-request", f"Sent through the {self.name()} gateway", f"Subscriptions: {self.name().lower()}-request@{self.host()}"]))
         if self.chance(0.12):
             add("D", "-----BEGIN PGP SIGNATURE-----", *("".join(self.pick("ABCDEFGHabcdefgh0123456789+/") for _ in range(48)) for _ in range(2)), "-----END PGP SIGNATURE-----")
         return out

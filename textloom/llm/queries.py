@@ -86,9 +86,9 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, sf_dir: str, masked: bool) -> DataFrame:
-    from textloom.llm.pii import found, train
+    from textloom.llm.pii import found, train_on
 
-    tagger = train()
+    tagger = train_on(_table(spark, sf_dir, "raw_posts"))
     parts = [("documents", "doc_id", "text"), ("raw_posts", "post_id", "text"), ("rag_sources", "source_id", "snippet")]
     made = [found(_table(spark, sf_dir, t), tagger, t, i, c, masked) for t, i, c in parts]
     return made[0].unionByName(made[1]).unionByName(made[2])
