@@ -1,6 +1,6 @@
 import pytest
 
-from textloom.llm.language import ByteNetwork, canonical, languages, segments, train, wrong_labels
+from textloom.llm.language import ByteNetwork, canonical, languages, segments, train, windows, wrong_labels
 from textloom.llm.practice import MARK, Writer
 from textloom.llm.text import plain, repaired, sentences
 
@@ -14,7 +14,7 @@ def document(writer, lang, n=5):
 @pytest.fixture(scope="module")
 def labelled(spark):
     w = Writer(2)
-    rows = [(i, document(w, lang), lang, "c") for i, lang in enumerate(["en", "de", "fr", "es", "pt"] * 150)]
+    rows = [(i, document(w, lang), lang, "c") for i, lang in enumerate(["en", "de", "fr", "es", "pt"] * 300)]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -39,6 +39,15 @@ def test_labels_and_mixtures(spark, network):
     assert all(0 <= r.confidence <= 1 for r in found.collect())
 
 
+def test_windows_read_every_byte():
+    for n in (1, 7, 8, 96, 97, 119, 120, 191, 192, 193, 500):
+        body = "".join(chr(97 + i % 26) for i in range(n))
+        parts = windows(body)
+        at = [k * 96 for k in range(len(parts) - 1)] + [max(0, n - len(parts[-1]))]
+        assert {i for a, p in zip(at, parts) for i in range(a, a + len(p))} == set(range(n)) and max(map(len, parts)) <= 96
+    assert windows("") == windows("42 <x@y>") == []
+
+
 def test_no_labels(spark):
     empty = spark.createDataFrame([], SCHEMA)
     model = train(empty)
