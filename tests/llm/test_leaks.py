@@ -43,3 +43,22 @@ def test_spans_are_cut(spark):
     assert got[1] == (text.replace(ITEM, ""), len(ITEM))
     assert got[2] == (None, len(ITEM))
     assert got[3] == ("clean", 0)
+
+
+def test_a_span_that_two_items_share_counts_once(spark):
+    text = "Keep this opening line in the text please, it is our own and long enough to stay. " * 3 + ITEM + " Keep the end."
+    df = spark.createDataFrame([(1, text, None), (1, text, None)], DOCS)
+    items = [(7, ITEM, None, None), (8, None, ITEM, None), (9, None, None, [ITEM])]
+    rows = leaks(df, spark.createDataFrame(items, ITEMS))
+    assert {(r.doc_id, r.item_id) for r in rows.collect()} == {(1, 7), (1, 8), (1, 9)}
+    assert [(r.text, r.removed) for r in without_leaks(df, rows).collect()] == [(text.replace(ITEM, ""), len(ITEM))]
+
+
+def test_every_passage_of_an_item_is_cut(spark):
+    w = ITEM.split()
+    item = " ".join(w[:13] + [f"filler{i}" for i in range(30)] + w[9:])
+    own = " ".join(f"own{i}" for i in range(40))
+    text = f"{own} {' '.join(w[:13])} mine1 mine2 mine3 mine4 mine5 {' '.join(w[9:])} {own}"
+    df = spark.createDataFrame([(1, text, None)], DOCS)
+    got = without_leaks(df, leaks(df, spark.createDataFrame([(7, item, None, None)], ITEMS))).first()
+    assert got.text.split() == own.split() + [f"mine{i}" for i in range(1, 6)] + own.split()

@@ -160,8 +160,20 @@ def _aligned(item: list[str], doc: list[str]) -> list[tuple[int, int, int]]:
     return steps[::-1]
 
 
+def _passages(steps: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(first position, last position, words) of passages within the limits that do not overlap, longest first."""
+    found, parts = [], [steps]
+    while parts:
+        part = parts.pop()
+        if (best := _passage(part)) is not None:
+            lo, hi, length = best
+            found.append((part[lo][2], part[hi - 1][2], length))
+            parts += [part[:lo], part[hi:]]
+    return found
+
+
 def _passage(steps: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
-    """(first position, last position, words) of the longest passage within the limits."""
+    """(first step, step after the last, words) of the longest passage within the limits."""
     size, score = [0], [0]
     for covered, altered, _ in steps:
         size.append(size[-1] + covered)
@@ -175,7 +187,7 @@ def _passage(steps: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
             if length < LEAST_WORDS or best and length <= best[2]:
                 break
             if not steps[hi - 1][1] and score[hi] >= score[lo]:
-                best = (steps[lo][2], steps[hi - 1][2], length)
+                best = (lo, hi, length)
                 break
     return best
 
@@ -194,9 +206,9 @@ def passages(automaton: Automaton, sequence: list[str]) -> list[tuple[int, int,
             continue
         lo = max(0, min(starts) - 8)
         region = sequence[lo : max(starts) + len(content) + 8]
-        if (best := _passage(_aligned(content, region))) is not None:
-            key = (item, lo + best[0])
-            row = (item, lo + best[0], lo + best[1], best[2])
+        for first, last, length in _passages(_aligned(content, region)):
+            key = (item, lo + first)
+            row = (item, lo + first, lo + last, length)
             if key not in found or found[key][2] < row[2]:
                 found[key] = row
     return sorted(found.values())
@@ -247,11 +259,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def without_leaks(docs: DataFrame, found: DataFrame, longest: int = LEAST_WORDS, most_coverage: float = 0.5) -> DataFrame:
     """Documents with leaked spans cut out; a document whose covered part exceeds ``most_coverage`` loses its text.
 
-    (doc_id, text, removed): text is null where the document goes as a whole.
+    (doc_id, text, removed): text is null where the document goes as a whole. Spans that several items or repeated rows
+    give count once: what is covered is the share of the text's characters in the union of its spans. Spans beyond a text's
+    end, as of another text under the same id, are cut there.
     """
-    spans = found.where(F.col("n_words") >= longest).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias("spans"), F.sum("coverage").alias("coverage")
-    )
+    spans = found.where(F.col("n_words") >= longest).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_pos", "end_pos"))).alias("spans"))
     joined = docs.select("doc_id", "text").distinct().join(spans, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +272,16 @@ def without_leaks(docs: DataFrame, found: DataFrame, longest: int = LEAST_WORDS,
             for r in batch.to_pylist():
                 body, cut = r["text"], 0
                 if body is not None and r["spans"]:
-                    if r["coverage"] > most_coverage:
-                        body, cut = None, len(r["text"])
+                    keep, at = [], 0
+                    for s in r["spans"]:
+                        lo, hi = max(at, s["start_pos"]), min(len(body), s["end_pos"])
+                        if hi > lo:
+                            keep.append(body[at:lo])
+                            cut += hi - lo
+                            at = hi
+                    if cut > most_coverage * len(body):
+                        body, cut = None, len(body)
                     else:
-                        keep, at = [], 0
-                        for s in r["spans"]:
-                            if s["end_pos"] > at:
-                                keep.append(body[at : max(at, s["start_pos"])])
-                                cut += s["end_pos"] - max(at, s["start_pos"])
-                                at = s["end_pos"]
                         body = "".join(keep) + body[at:]
                 ids.append(r["doc_id"])
                 texts.append(body)
