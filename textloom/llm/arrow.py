@@ -26,6 +26,7 @@ def in_groups(
     fn: Callable[[pa.Table], pa.RecordBatch | None],
     most: int,
     whole: bool = False,
+    least: int = 1,
 ) -> DataFrame:
     """Apply ``fn`` to the rows of each ``key``, at most ``most`` rows at a time.
 
@@ -33,6 +34,7 @@ def in_groups(
     tasks as it needs; within a task a longer group is cut into runs of neighbours in
     ``order``, which acts as a longer key. Memory per call is bounded by ``most``.
     With ``whole`` a key stays in one task: for keys whose size the caller has checked.
+    Keys of fewer than ``least`` rows may be passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,8 +50,10 @@ def in_groups(
             if not batch.num_rows:
                 continue
             keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            for lo, hi in zip(edges, edges[1:]):
+            edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+            long = np.diff(edges) >= least
+            long[[0, -1]] = True  # may go on in the neighbouring batches
+            for lo, hi in zip(edges[:-1][long].tolist(), edges[1:][long].tolist()):
                 if held and (keys[lo] != last):
                     yield from flush(held)
                     held, held_rows = [], 0
@@ -72,7 +76,7 @@ def in_groups(
 def in_whole_groups(
     df: DataFrame, counts: DataFrame, key: str, id_col: str, tasks: int, schema: str, fn: Callable[[pa.Table], pa.RecordBatch | None], most: int
 ) -> DataFrame:
-    """Apply ``fn`` so that any two rows of a ``key`` meet in some call.
+    """Apply ``fn`` so that any two rows of a ``key`` meet in some call; keys of one row are passed over.
 
     counts: (key, count) of every key. A key of at most ``most`` rows is one call. The rows of a longer one are
     dealt by the hash of ``id_col`` into blocks of somewhat less than half of ``most``, and every two blocks
@@ -81,16 +85,12 @@ def in_whole_groups(
     """
     long = stored(counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") * 2.2 / most).cast("int").alias("blocks")))
     if long.isEmpty():
-        return in_groups(df, key, [id_col], tasks, schema, fn, most, whole=True)
+        return in_groups(df, key, [id_col], tasks, schema, fn, most, whole=True, least=2)
     short = df.join(long, key, "left_anti")
     dealt = df.join(long, key).dropDuplicates([key, id_col]).withColumn("block", F.expr(f"cast(pmod(xxhash64({id_col}, 5), blocks) as int)"))
     dealt = dealt.withColumn("with", F.explode(F.expr("filter(sequence(0, blocks - 1), b -> b <> block)")))
     cell = F.xxhash64(key, F.least("block", "with"), F.greatest("block", "with"))
     dealt = dealt.withColumn(key, cell).select(*df.columns)
     cells = long.agg(F.sum(F.expr("blocks * (blocks - 1) / 2"))).first()[0]
-    met = in_groups(dealt, key, [id_col], range_tasks(df, int(cells), 8, 12), schema, fn, 1 << 40, whole=True)
-    return in_groups(short, key, [id_col], tasks, schema, fn, most, whole=True).union(met)
-
-
-def batches_of(out: dict[str, list | np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
+    met = in_groups(dealt, key, [id_col], range_tasks(df, int(cells), 8, 12), schema, fn, 1 << 40, whole=True, least=2)
+    return in_groups(short, key, [id_col], tasks, schema, fn, most, whole=True, least=2).union(met)
