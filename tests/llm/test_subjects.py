@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from textloom.llm.subjects import SUBJECTS, subjects, train
+from textloom.llm.subjects import SUBJECTS, Subjects, featured, subjects, train
 
 DOCS = "doc_id bigint, text string, share double"
 LABELS = "doc_id bigint, subject string, annotator string"
@@ -28,13 +28,19 @@ def table(spark, seed=1, n=400):
 def test_held_out_accuracy(spark):
     docs, labels, truth = table(spark)
     got = {i: set() for i in truth}
-    for r in subjects(docs, train(docs, labels)).collect():
+    read = featured(docs)
+    model = train(read, labels)
+    for r in subjects(read, model).collect():
         got[r.doc_id].add(r.subject)
     held = [i for i in truth if i % 4]
     assert sum(got[i] == truth[i] for i in held) >= 0.9 * len(held)
+    # the calibration decides: without it the same scores find something else
+    plain = Subjects(model.w, model.slope * 0 + 1, model.shift * 0 + 0.1)
+    assert {tuple(r) for r in subjects(read, plain).select("doc_id", "subject").collect()} != {(i, s) for i, own in got.items() for s in own}
 
 
 @pytest.mark.parametrize("docs", [[], [(1, None, None), (2, "", None), (3, "...", None), (None, "law", None)]])
 def test_nothing_to_learn_from(spark, docs):
     df = spark.createDataFrame(docs, DOCS)
-    assert subjects(df, train(df, spark.createDataFrame([], LABELS))).count() == 0
+    read = featured(df)
+    assert subjects(read, train(read, spark.createDataFrame([], LABELS))).count() == 0

@@ -56,18 +56,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textloom.llm.subjects import subjects, train
+    from textloom.llm.subjects import featured, subjects, train
 
-    docs = _table(spark, sf_dir, "documents")
-    return subjects(docs, train(docs, _table(spark, sf_dir, "subject_labels"))).select("doc_id", "subject").distinct()
+    read = featured(_table(spark, sf_dir, "documents"))
+    return subjects(read, train(read, _table(spark, sf_dir, "subject_labels"))).select("doc_id", "subject").distinct()
 
 
 def p1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composition of the corpus: documents of each filed category by found subject."""
-    from textloom.llm.subjects import subjects, train
+    from textloom.llm.subjects import featured, subjects, train
 
     docs = _table(spark, sf_dir, "documents")
-    found = subjects(docs, train(docs, _table(spark, sf_dir, "subject_labels")))
+    read = featured(docs)
+    found = subjects(read, train(read, _table(spark, sf_dir, "subject_labels")))
     both = docs.select("doc_id", F.lower("category").alias("category")).join(found, "doc_id", "left")
     return both.groupBy("category", F.coalesce("subject", F.lit("none")).alias("subject")).agg(F.countDistinct("doc_id").alias("n"))
 
