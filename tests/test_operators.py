@@ -66,6 +66,16 @@ def test_near_pairs_and_greedy_removal(spark, least):
     assert flat == {i: i not in kept for i in range(len(x))}
 
 
+def test_long_chains_and_hot_cells(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(39)], "a bigint, b bigint")
+    assert sorted(r.id for r in greedy_keep(spark.range(40), chain).collect()) == list(range(0, 40, 2))
+    x = np.vstack([random_vectors(80, spread=0.12), np.tile(random_vectors(8)[:1], (60, 1)) + np.random.default_rng(3).normal(size=(60, DIM)) * 0.003, np.tile(random_vectors(8)[1:2], (20, 1))])
+    c = cosines(x)
+    want = {(a, b) for a, b in itertools.combinations(range(len(x)), 2) if c[a, b] >= 0.98}
+    for blocks in (2048, 7):
+        assert {(r.a, r.b) for r in near_pairs(frame(spark, x), 0.98, DIM, per_cell=10, block_rows=blocks).collect()} == want
+
+
 def test_greedy_of_nothing(spark):
     empty = spark.createDataFrame([], "id bigint")
     assert greedy_keep(empty, spark.createDataFrame([], "a bigint, b bigint")).count() == 0
@@ -102,6 +112,11 @@ def test_fit_matches_numpy(spark):
     assert np.allclose(result.model.centers, centers, atol=1e-8)
     assert math.isclose(result.fpc, (u * u).sum() / 60, abs_tol=1e-8) and result.n_iter == 8 and 1 / 3 <= result.fpc <= 1
     assert Z.fit(frame(spark, x), 3, 1.7, 150, 1e-3, DIM).n_iter < 150
+    both = Z.fit_many(frame(spark, x), [(3, 1.7), (2, 2.0)], 8, 0.0, DIM)
+    assert np.allclose(both[0].model.centers, centers, atol=1e-8) and len(both[1].model.centers) == 2
+    swept = Z.sweep_k(frame(spark, x), [2, 3], 1.7, 20)
+    assert [k for k, *_ in swept] == [2, 3] and all(-1 <= s <= 1 and 1 / k <= fpc <= 1 for k, fpc, s, _ in swept)
+    assert [m for m, *_ in Z.sweep_m(frame(spark, x), [1.5, 2.0], 3, 5)] == [1.5, 2.0]
 
 
 def test_pca_matches_numpy(spark):
@@ -119,24 +134,53 @@ def test_model_round_trip(spark, tmp_path):
     assert np.array_equal(again.centers, model.centers) and np.array_equal(again.components, model.components) and again.m == 2.0
 
 
-def test_cache_semantics():
-    cache = C.SemanticCache()
-    assert cache.lookup([1.0, 0.0]) is None and cache.miss_count == 0  # a miss counts when it is stored
-    cache.store(7, [2.0, 0.0])
-    assert cache.lookup([1.0, 0.01])[0] == 0 and (cache.hit_count, cache.miss_count, cache.hits, len(cache)) == (1, 1, [1], 1)
-    cache.flush()
-    assert len(cache) == 0 and cache.hit_count == 0
+def test_decisions_in_order():
+    held = C.Held(2)
+    unit, routes = C.placed(np.array([[2.0, 0.0], [1.0, 0.01], [0.0, 3.0], [1.0, 0.0]]), None)
+    matched, sims = C.decide(held, np.array([7, 8, 9, 10]), unit, routes, 0.85)
+    assert matched.tolist() == [-1, 7, -1, 7] and held.n == 2 and held.key[:2].tolist() == [7, 9] and math.isclose(sims[3], 1, abs_tol=1e-9)
+    matched, _ = C.decide(held, np.array([11]), unit[2:3], routes[2:3], 0.85)
+    assert matched.tolist() == [9]
+
+
+def sequential(x, model, theta):
+    """The cache as a plain loop: (matched or -1) of every request."""
+    u, routes = C.placed(x, model)
+    entries, out = [], []
+    for i in range(len(x)):
+        near = [(way, e) for way in range(routes.shape[1]) for e in entries if routes[e][0] == routes[i][way]] or [(0, e) for e in entries]
+        best = max(near, key=lambda t: (float(u[t[1]] @ u[i]), -t[0], -t[1]), default=None)
+        if best is not None and round(float(u[best[1]] @ u[i]), 6) >= theta:
+            out.append(best[1])
+        else:
+            entries.append(i)
+            out.append(-1)
+    return out
+
+
+def test_replay_matches_a_plain_loop(spark, monkeypatch):
+    x = random_vectors(160, seed=5, spread=0.3)
+    model = Z.FuzzyModel(random_vectors(40, seed=6)[:5], 2.0)
+    monkeypatch.setattr(C, "BLOCK", 16)
+    log = spark.createDataFrame([("a", i, i, [float(v) for v in row]) for i, row in enumerate(x)], "epoch string, seq int, id bigint, vec array<double>")
+    for m in (model, None):
+        got = {r.id: -1 if r.matched is None else r.matched for r in C.replay(log, m, DIM, 0.9).collect()}
+        assert [got[i] for i in range(len(x))] == sequential(x, m, 0.9) and -1 in got.values() and len(set(got.values())) > 5
 
 
 def test_routing_falls_back_to_all(spark):
     model = Z.FuzzyModel(np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]]), 2.0)
-    index = C.ClusterIndex()
-    assert index.search(np.array([1.0, 0.0]), np.ones(4)) is None
-    index.add(np.array([-1.0, 0.0]), 2)
-    assert index.search(np.array([0.8, 0.6]), model.memberships(np.array([[0.8, 0.6]]))[0])[0] == 0
+    unit, routes = C.placed(np.array([[-1.0, 0.0], [0.8, 0.6]]), model)
+    assert routes[1].tolist() == [0, 1] and C.decide(C.Held(2), np.array([1, 2]), unit, routes, -1.0)[0].tolist() == [-1, 1]
     log = spark.createDataFrame([("a", 2, 2, [1.0, 0.05]), ("a", 1, 1, [1.0, 0.0]), ("b", 3, 3, [1.0, 0.0])], "epoch string, seq int, id bigint, vec array<double>")
-    got = {r.id: (r.hit, r.matched) for r in C.replay(log, model).collect()}
+    got = {r.id: (r.hit, r.matched) for r in C.replay(log, model, 2).collect()}
     assert got == {1: (False, None), 2: (True, 1), 3: (False, None)}
+    u = lambda *k: [0.9 if i == k[0] else 0.08 if i == k[1] else 0.01 for i in range(4)]
+    schema = "id bigint, vec array<double>, u array<double>"
+    entries = spark.createDataFrame([(1, [1.0, 0.0], u(2, 3)), (2, [0.0, 1.0], u(2, 3)), (3, [0.9, 0.1], u(3, 2))], schema)
+    queries = spark.createDataFrame([(10, [1.0, 0.1], u(0, 1)), (11, [1.0, 0.0], u(3, 0)), (12, [0.5, 0.5], u(2, 0))], schema)
+    got = {r.query_id: (r.id, r.routed) for r in C.routed_nearest(queries, entries, 2).collect()}
+    assert got == {10: (3, False), 11: (3, True), 12: (1, True)}
 
 
 def test_thresholds_are_inclusive(spark):
@@ -147,11 +191,9 @@ def test_thresholds_are_inclusive(spark):
     assert [(r.source_index, r.source_id) for r in top] == [(1, 0), (2, 3), (3, 4), (4, 5), (5, 6)]
 
 
-def test_grades_and_reducer(spark):
+def test_grades(spark):
     df = spark.createDataFrame([(" yes, it is", False), ("NO", False), (None, True), (None, None), ("maybe YES", False)], "r string, f boolean")
     assert [x.p for x in df.select(R.passes(F.col("r"), F.col("f")).alias("p")).collect()] == [True, False, True, False, False]
-    df = spark.createDataFrame([(["a"], ["b"]), ([], ["b"]), (None, ["b"])], "n array<string>, o array<string>")
-    assert [x.k for x in df.select(R.kept_documents(F.col("n"), F.col("o")).alias("k")).collect()] == [["a"], ["b"], ["b"]]
 
 
 DOCS = [(1, "the comet crossed the orbit of the crater today", "sci"), (2, "the altar and the sermon were older than the temple", None), (3, None, "x"), (4, "", "x")]
@@ -163,7 +205,8 @@ def test_pipeline_and_evaluation(spark):
     queries = spark.createDataFrame([(1, "which comet crossed"), (2, "zzz qqqq"), (3, "  "), (4, None)], "query_id bigint, query string")
     got = {r.query_id: r for r in pipe.run(queries).collect()}
     assert set(got) == {1, 2} and got[1].has_relevant_docs and got[1].rewrite_attempts == 1
-    assert got[2].answer == R.NO_DOCUMENTS and got[2].n_sources == 0 and got[2].rewrite_attempts == 2
+    assert got[2].answer == R.NO_DOCUMENTS and got[2].n_sources == 0 and got[2].rewrite_attempts == 2 and (got[2].input_tokens, got[2].output_tokens) == (0, 0)
+    assert got[1].output_tokens > 0 and [(x["index"], x.category, x.cluster, x.snippet) for x in got[1].sources] == [(1, "sci", -1, DOCS[0][1])]
     scored, mean = evaluate(pipe, queries.where("query_id < 3"))
     assert scored.count() == 2 and mean.first().n == 2
     for n in (0, 11):
@@ -182,13 +225,15 @@ def test_search_with_cache(spark):
     store = docs.join(encoder.encode(docs, "id", "text"), "id")
     search = SemanticSearch(store, encoder)
     first = search.query(spark.createDataFrame([(1, "comet orbit"), (2, "orbit comet")], "query_id bigint, query string")).collect()
-    assert {r.query_id: (r.hit, r.matched) for r in first} == {1: (False, None), 2: (True, 1)} and all(len(r.results) == 2 for r in first)
-    second = search.query(spark.createDataFrame([(3, "Comet, ORBIT")], "query_id bigint, query string")).first()
-    assert second.hit and second.matched == 1
+    assert {r.query_id: (r.hit, r.matched_query, r.cluster) for r in first} == {1: (False, None, -1), 2: (True, "comet orbit", -1)} and all(len(r.results) == 2 for r in first)
+    second = search.query(spark.createDataFrame([(1, "Comet, ORBIT")], "query_id bigint, query string")).collect()  # an id used before
+    assert [(r.query_id, r.hit, r.matched_query) for r in second] == [(1, True, "comet orbit")]
     s = search.stats().first()
     assert (s.requests, s.hits, s.total_entries) == (3, 2, 1) and health(spark, search).first().entries == 1
     with pytest.raises(ValueError):
         search.query(spark.createDataFrame([(4, " ")], "query_id bigint, query string"))
+    with pytest.raises(ValueError):
+        search.query(spark.createDataFrame([(4, "a"), (4, "b")], "query_id bigint, query string"))
     search.flush()
     assert search.stats().first().requests == 0
 
@@ -203,9 +248,26 @@ def test_directory_and_store(spark, tmp_path):
     rows = sorted((r.category, r.label_id, r.text[:5]) for r in docs.collect())
     assert rows == [("a", -1, "one. "), ("b", -1, "two. ")]
     path = str(tmp_path / "store")
-    S.write_store(docs.union(docs), HashEncoder(8).encode(docs, "id", "text") if False else docs.select("id").distinct().withColumn("vec", F.array(F.lit(1.0))), path)
+    S.write_store(docs.union(docs), docs.select("id").distinct().withColumn("vec", F.array(F.lit(1.0))), path)
     store = S.open_store(spark, path)
     assert store.count() == 2 and {r.dominant_cluster for r in store.collect()} == {-1}
     one = store.orderBy("id").first().id
     S.write_back(store, spark.createDataFrame([(one, "3,1,2", "0.5,0.3,0.2", 3)], "id string, cluster_ids string, cluster_probs string, dominant_cluster int"), path + "2")
     assert sorted(r.dominant_cluster for r in S.open_store(spark, path + "2").collect()) == [-1, 3]
+
+
+def test_entry_points(spark, tmp_path):
+    from textloom.__main__ import cluster, prepare
+
+    words = "comet orbit altar sermon engine brake ballot judge lens crater stadium coach".split()
+    for i in range(24):
+        p = tmp_path / "posts" / "ab"[i % 2] / str(i)
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"Subject: post {i}\n\n" + " ".join(words[(i + k * (i % 5 + 1)) % 12] for k in range(25)))
+    prepare(spark, str(tmp_path / "posts"), str(tmp_path / "store"), dim=16)
+    cluster(spark, str(tmp_path / "store"), str(tmp_path / "out"), k=3, pca_dim=4)
+    n = spark.read.parquet(str(tmp_path / "store")).count()
+    assert 1 < n <= 24 and spark.read.parquet(str(tmp_path / "out" / "store")).where("dominant_cluster >= 0").count() == n
+    assert spark.read.parquet(str(tmp_path / "out" / "memberships")).count() == n
+    top = spark.read.parquet(str(tmp_path / "out" / "uncertain")).first()
+    assert len(top.strongest) == 3 and top.strongest[0].u >= top.strongest[1].u

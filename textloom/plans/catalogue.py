@@ -25,7 +25,7 @@ SQL: dict[str, str] = {}
 
 EVERY = 50  # searches ask with the rows whose id it divides, against all rows
 ENTRY_DIM, VECTOR_DIM = 128, 64
-FIT_DIM, FIT_K, FIT_M, FIT_ROUNDS = 4, 4, 1.5, 6
+PCA_DIM, FIT_K, FIT_M = 16, 15, 1.2  # at m = 2 all memberships of these entries come out as 1 / K
 THETAS = [0.70, 0.75, 0.80, 0.82, 0.85, 0.88, 0.90, 0.95]
 
 
@@ -157,8 +157,9 @@ def near_dup_pairs(spark, sf_dir):
     return near_pairs(_entries(spark, sf_dir), 0.98, ENTRY_DIM)
 
 
-@query(
-    f"""WITH RECURSIVE {_USABLE}, p AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id < y.id AND round(list_dot_product(x.w, y.w), 6) >= 0.98),
+def _walk_sql(least: float, last: str) -> str:
+    """First-come removal as a recursion over rounds."""
+    return f"""WITH RECURSIVE {_USABLE}, p AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id < y.id AND round(list_dot_product(x.w, y.w), 6) >= {least}),
     walk(step, kept, dropped) AS (
       SELECT 0, CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
       UNION ALL
@@ -166,8 +167,10 @@ def near_dup_pairs(spark, sf_dir):
       FROM (SELECT step, kept, dropped, (SELECT list(DISTINCT a) FROM p WHERE NOT list_contains(kept, a) AND NOT list_contains(dropped, a)
         AND NOT EXISTS (SELECT 1 FROM p q WHERE q.b = p.a AND NOT list_contains(dropped, q.a) AND NOT list_contains(kept, q.a))) AS n FROM walk) WHERE len(n) > 0),
     last AS (SELECT kept, dropped FROM walk ORDER BY step DESC LIMIT 1)
-    SELECT id FROM u, last WHERE NOT list_contains(dropped, id)"""
-)
+    {last}"""
+
+
+@query(_walk_sql(0.98, "SELECT id FROM u, last WHERE NOT list_contains(dropped, id)"))
 def greedy_dedup(spark, sf_dir):
     return near_duplicates_removed(_entries(spark, sf_dir), 0.98, ENTRY_DIM)
 
@@ -262,60 +265,29 @@ def category_mix(spark, sf_dir):
     return Z.category_mix(table(spark, sf_dir, "rag_sources").distinct(), "cluster_id", "category", "source_id")
 
 
-def _fit_sql(k: int, m: float, rounds: int, dim: int) -> str:
-    """A training run as one chain of materialised steps: memberships, centres, memberships."""
-    step = [f"x AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding[1:{dim}], lambda v: v::DOUBLE) AS x FROM embeddings)"]
-    step.append(
-        f"w AS (SELECT id, x, k, -ln((('0x' || substring(md5(id || ':' || k), 1, 8))::BIGINT + 1) / 4294967297.0) AS g FROM x, range({k}) r(k)), "
-        "u0 AS MATERIALIZED (SELECT id, x, k, g / sum(g) OVER (PARTITION BY id) AS u FROM w)"
-    )
-    for t in range(1, rounds + 1):
-        sums = ", ".join(f"sum(power(u, {m}) * x[{i}]) / sum(power(u, {m})) AS c{i}" for i in range(1, dim + 1))
-        far = " + ".join(f"(x[{i}] - c{i}) * (x[{i}] - c{i})" for i in range(1, dim + 1))
-        step.append(f"v{t} AS MATERIALIZED (SELECT k, {sums} FROM u{t - 1} GROUP BY k)")
-        step.append(f"d{t} AS (SELECT id, x, k, power(sqrt({far}), {-2.0 / (m - 1.0)}) AS q FROM x, v{t})")
-        step.append(f"u{t} AS MATERIALIZED (SELECT id, x, k, q / sum(q) OVER (PARTITION BY id) AS u FROM d{t})")
-    return ", ".join(step)
-
-
 def _fit_vectors(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").where(V.usable(F.col("embedding"), VECTOR_DIM))
-    return rows.select(F.col("vec_id").alias("id"), V.doubles(F.slice("embedding", 1, FIT_DIM)).alias("vec")).dropDuplicates(["id"])
+    """Whole entries along their leading directions."""
+    return Z.projected(_entries(spark, sf_dir), ENTRY_DIM, PCA_DIM)[0]
 
 
-@query(
-    f"WITH {_fit_sql(FIT_K, FIT_M, FIT_ROUNDS, FIT_DIM)} SELECT CAST(k AS INTEGER) AS k, "
-    + ", ".join(f"round(c{i}, 4) AS c{i}" for i in range(1, FIT_DIM + 1))
-    + f" FROM v{FIT_ROUNDS}"
-)
+@query()
 def fcm_centers(spark, sf_dir):
-    made = Z.fit(_fit_vectors(spark, sf_dir), FIT_K, FIT_M, FIT_ROUNDS, 0.0, FIT_DIM).model.centers
-    schema = "k int, " + ", ".join(f"c{i} double" for i in range(1, FIT_DIM + 1))
-    return spark.createDataFrame([(i, *[round(float(x), 4) for x in row]) for i, row in enumerate(made)], schema)
+    """Centres of a training run to convergence, in long form."""
+    made = Z.fit(_fit_vectors(spark, sf_dir), FIT_K, FIT_M, dim=PCA_DIM)
+    rows = [(k, i, round(float(x), 4), made.n_iter) for k, row in enumerate(made.model.centers) for i, x in enumerate(row)]
+    return spark.createDataFrame(rows, "k int, i int, center double, n_iter int")
 
 
-@query(
-    " UNION ALL ".join(
-        f"(WITH {_fit_sql(k, FIT_M, 3, FIT_DIM)} SELECT {k} AS k, round(sum(u * u) / count(DISTINCT id), 4) AS fpc, 3 AS n_iter FROM u3)" for k in (2, 3, 4, 5)
-    )
-)
-def sweep_k_fpc(spark, sf_dir):
-    vecs = _fit_vectors(spark, sf_dir)
-    rows = [(k, round(r.fpc, 4), r.n_iter) for k in (2, 3, 4, 5) for r in [Z.fit(vecs, k, FIT_M, 3, 0.0, FIT_DIM)]]
-    return spark.createDataFrame(rows, "k int, fpc double, n_iter int")
+@query()
+def sweep_k(spark, sf_dir):
+    rows = [(k, round(fpc, 4), s, n) for k, fpc, s, n in Z.sweep_k(_fit_vectors(spark, sf_dir), list(range(8, 26)), FIT_M, dim=PCA_DIM)]
+    return spark.createDataFrame(rows, "k int, fpc double, silhouette double, n_iter int")
 
 
-@query(
-    " UNION ALL ".join(
-        f"""(WITH {_fit_sql(3, m, 3, FIT_DIM)}, h AS (SELECT id, -sum(u * ln(u + 1e-12)) AS h, sum(u * u) AS s FROM u3 GROUP BY id)
-        SELECT CAST({m} AS DOUBLE) AS m, round(avg(s), 4) AS fpc, round(avg(h), 4) AS entropy_mean, round(stddev_pop(h), 4) AS entropy_std FROM h)"""
-        for m in (1.2, 1.5, 2.0, 2.5, 3.0)
-    )
-)
+@query()
 def sweep_m(spark, sf_dir):
-    vecs = _fit_vectors(spark, sf_dir)
-    rows = [(m, round(r.fpc, 4), round(r.entropy_mean, 4), round(r.entropy_std, 4)) for m in (1.2, 1.5, 2.0, 2.5, 3.0) for r in [Z.fit(vecs, 3, m, 3, 0.0, FIT_DIM)]]
-    return spark.createDataFrame(rows, "m double, fpc double, entropy_mean double, entropy_std double")
+    rows = [(m, round(fpc, 4), round(h, 4), round(d, 4), n) for m, fpc, h, d, n in Z.sweep_m(_fit_vectors(spark, sf_dir), [1.2, 1.5, 2.0, 2.5, 3.0], FIT_K, dim=PCA_DIM)]
+    return spark.createDataFrame(rows, "m double, fpc double, entropy_mean double, entropy_std double, n_iter int")
 
 
 @query(
@@ -342,10 +314,10 @@ def route_top2(spark, sf_dir):
 
 
 _ROUTED = f"""{_ASSIGNED}, r AS (SELECT id, k, row_number() OVER (PARTITION BY id ORDER BY x DESC, k) AS r FROM g),
-c AS (SELECT q.id AS query_id, q.r, e.id, round(list_dot_product(x.w, y.w), 6) AS cosine FROM r q JOIN r e ON q.k = e.k AND e.r = 1 AND q.id <> e.id JOIN u x ON x.id = q.id JOIN u y ON y.id = e.id
-  WHERE q.r <= 2 AND q.id % {EVERY} = 0),
-n AS (SELECT query_id, id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, r, id) AS rank FROM c),
-one AS (SELECT query_id, id, cosine FROM n WHERE rank = 1)"""
+pair AS (SELECT x.id AS query_id, y.id, round(list_dot_product(x.w, y.w), 6) AS cosine FROM u x JOIN u y ON x.id <> y.id WHERE x.id % {EVERY} = 0),
+c AS (SELECT p.query_id, q.r, p.id, p.cosine FROM pair p JOIN r e ON e.id = p.id AND e.r = 1 LEFT JOIN r q ON q.id = p.query_id AND q.k = e.k AND q.r <= 2),
+n AS (SELECT query_id, id, cosine, r IS NOT NULL AS routed, row_number() OVER (PARTITION BY query_id ORDER BY r IS NOT NULL DESC, cosine DESC, r, id) AS rank FROM c),
+one AS (SELECT query_id, id, cosine, routed FROM n WHERE rank = 1)"""
 
 
 def _routed(spark, sf_dir) -> DataFrame:
@@ -353,7 +325,7 @@ def _routed(spark, sf_dir) -> DataFrame:
     return C.routed_nearest(both.where(F.col("id") % EVERY == 0), both, ENTRY_DIM)
 
 
-@query(f"WITH {_ROUTED} SELECT query_id, id, round(cosine, 4) AS cosine FROM one")
+@query(f"WITH {_ROUTED} SELECT query_id, id, round(cosine, 4) AS cosine, routed FROM one")
 def cluster_routed_1nn(spark, sf_dir):
     return _routed(spark, sf_dir).withColumn("cosine", F.round("cosine", 4))
 
@@ -372,16 +344,16 @@ def routing_recall(spark, sf_dir):
 
 @query()
 def cache_replay_routed(spark, sf_dir):
-    """The cached questions asked again in order of time, the cache being flushed every day."""
+    """The cached questions asked again in order of time, through one cache that is never flushed."""
     entries = table(spark, sf_dir, "cache_entries").where("cached_at is not null")
     when = entries.groupBy(F.col("entry_id").alias("id")).agg(F.min("cached_at").alias("seq"))
-    log = _entries(spark, sf_dir).join(when, "id").withColumn("epoch", F.date_format("seq", "yyyy-MM-dd"))
-    return C.replay(log, Z.FuzzyModel.load(table(spark, sf_dir, "fcm_model")))
+    log = _entries(spark, sf_dir).join(when, "id").withColumn("epoch", F.lit("all"))
+    return C.replay(log, Z.FuzzyModel.load(table(spark, sf_dir, "fcm_model")), ENTRY_DIM)
 
 
-@query()
+@query(_walk_sql(C.THETA, "SELECT id, list_contains(dropped, id) AS hit FROM u, last"))
 def cache_replay_flat(spark, sf_dir):
-    return C.replay_flat(_entries(spark, sf_dir), 0.95, ENTRY_DIM)
+    return C.replay_flat(_entries(spark, sf_dir), C.THETA, ENTRY_DIM)
 
 
 _LOG = "l AS (SELECT DISTINCT * FROM search_log)"
@@ -424,8 +396,7 @@ def relevance_filter(spark, sf_dir):
     return table(spark, sf_dir, "rag_sources").distinct().groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(ok).alias("relevant"))
 
 
-_TOP = f"""{_SRC}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank_pos, source_id) AS r0 FROM s),
-p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank_pos, source_id) AS i FROM r WHERE r0 <= 10 AND coalesce(score, 0) >= 0.3), g AS (SELECT * FROM p WHERE i <= 5)"""
+_TOP = f"""{_SRC}, p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank_pos, source_id) AS i FROM s WHERE coalesce(score, 0) >= 0.3), g AS (SELECT * FROM p WHERE i <= 5)"""
 
 
 def _top(spark, sf_dir) -> DataFrame:
@@ -461,7 +432,7 @@ def rag_routing(spark, sf_dir):
 def rag_answers(spark, sf_dir):
     """The evaluation questions answered from the documents by the offline models."""
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("query_id"), F.col("question").alias("query"))
-    return R.RagPipeline(table(spark, sf_dir, "documents")).run(items)
+    return R.RagPipeline(table(spark, sf_dir, "documents")).run(items).drop("sources")
 
 
 _TOK = "list_distinct(list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''))"

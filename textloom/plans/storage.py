@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         existing = sc._jsc.sc().getCheckpointDir()
         if existing.isDefined():
             return existing.get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="textloom-")
         sc.setCheckpointDir(configured)
         return sc._jsc.sc().getCheckpointDir().get()
