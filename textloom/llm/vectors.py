@@ -298,23 +298,33 @@ def _forest(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: int = DIM, block_rows: int = 4096) -> DataFrame:
-    """(a, b) links between vectors whose bit sets reach ``jaccard``, as forests within band buckets."""
+    """(a, b) links between vectors whose bit sets reach ``jaccard``, as forests within band buckets.
+
+    Vectors of one code, such as copies, hang on the smallest id of them, which alone is banded.
+    """
     rotation = fitted(vecs, CODE_BITS, rows)
     r, n = band_shape(rows)
     # |A| = |B| = bits, h bits differ: J = (bits - h) / (bits + h)
     most = int(CODE_BITS * (1 - jaccard) / (1 + jaccard))
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = (rotation.project(matrix(batch.column(1), dim)) > 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())], ["id", "code"])
+
+    codes = stored(vecs.mapInArrow(coded, "id bigint, code binary"))
+    one = stored(codes.groupBy("code").agg(F.min("id").alias("id"), F.max("id").alias("last")))
+    shared = one.where("id < last").select("code", F.col("id").alias("b"))
+    same = codes.join(shared, "code").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = (rotation.project(matrix(batch.column(1), dim)) > 0).astype(np.uint8)
-            packed = pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
-            keys = _bands(bits, r, n)
+            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = _bands(np.unpackbits(packed, axis=1), r, n)
             for band in range(n):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[:, band].view(np.int64)), packed, batch.column(0)], ["key", "code", "id"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].view(np.int64)), batch.column(1), batch.column(0)], ["key", "code", "id"])
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -333,16 +343,9 @@ def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: i
         i, j = np.concatenate([first[i], again]).astype(int), np.concatenate([first[j], first[same[again]]]).astype(int)
         return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], schema=out)
 
-    entries = vecs.mapInArrow(emit, "key bigint, code binary, id bigint")
+    entries = one.select("id", "code").mapInArrow(emit, "key bigint, code binary, id bigint")
     counts = entries.groupBy("key").count()
-    return in_whole_groups(entries, counts, "key", "id", range_tasks(vecs, rows * n, 250_000), "a bigint, b bigint", link, block_rows)
-
-
-def copies(vecs: DataFrame) -> DataFrame:
-    """(id, first): every id but the smallest one of each vector, and that one."""
-    hashed = vecs.select("id", F.xxhash64("vec").alias("h"))
-    first = hashed.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    return hashed.join(first, "h").where("id <> first").select("id", "first").distinct()
+    return in_whole_groups(entries, counts, "key", "id", range_tasks(vecs, rows * n, 250_000), "a bigint, b bigint", link, block_rows).union(same)
 
 
 def _exact_parts(x: np.ndarray, least: float, block: int = 512) -> np.ndarray:
@@ -433,9 +436,7 @@ def similarity_clusters(
     """
     rows = df.count()
     vecs = usable(df, id_col, vec_col, dim)
-    same = stored(copies(vecs))
-    apart = vecs.join(same.select("id"), "id", "left_anti") if not same.isEmpty() else vecs
-    loose = components(stored(candidate_links(apart, rows, dim=dim).union(same)))
+    loose = components(stored(candidate_links(vecs, rows, dim=dim)))
     giant = stored(loose.groupBy("component").count().where(F.col("count") > block_rows).select("component"))
     loose = loose.select("id", "component", F.lit(False).alias("linked"))
     if not giant.isEmpty():
