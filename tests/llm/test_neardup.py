@@ -96,3 +96,57 @@ def test_pairs_are_the_same_in_small_blocks(spark):
 
     made = [{(r.a, r.b) for r in alike(df, 100, block_rows=b).collect()} for b in (2048, 3)]
     assert made[0] == made[1]
+
+
+def test_all_pairs_that_reach_the_threshold_share_a_signature():
+    import numpy as np
+
+    from textloom.llm.neardup import Counts
+
+    rng = np.random.default_rng(3)
+    for similarity in (0.5, 0.8):
+        for size in (1, 2, 5, 16, 40, 63, 100, 127, 128, 200, 300, 700):
+            for other in sorted({size, int(size / similarity), int(size * (1 + similarity) / (2 * similarity))}):
+                for _ in range(40):
+                    pool = np.unique(rng.integers(1, 1 << 63, 4 * size + 8, dtype=np.uint64))
+                    rng.shuffle(pool)
+                    both = max(1, -(-round(similarity * (size + other) * 1000) // round(1000 * (1 + similarity))))
+                    if both > size:
+                        continue
+                    a, b = np.sort(pool[:size]), np.sort(np.r_[pool[:both], pool[size : size + other - both]])
+                    counts = Counts(pool, rng.choice([1, 2, 40, 500], len(pool)), rng.choice([0.01, 1.0]))
+                    assert set(signatures(a, similarity, counts).tolist()) & set(signatures(b, similarity, counts).tolist())
+
+
+def test_large_sets_that_agree_thinly_share_a_signature():
+    import numpy as np
+
+    from textloom.llm.neardup import _mix
+
+    # two agreeing features in each of 43 partitions of five parts, none that agrees beside them: 86 of 170 are shared
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(1, 1 << 63, 20_000, dtype=np.uint64))
+    place = (_mix(pool + np.uint64(7)) % np.uint64(215)).astype(int)
+    at = {p: pool[place == p] for p in range(215)}
+    both, used = [], np.zeros(86, int)  # and no more than two in each of the 86 partitions of the next band
+    for p in (5 * q + k for q in range(43) for k in (0, 1)):
+        larger = (_mix(at[p] + np.uint64(8)) % np.uint64(430)).astype(int) // 5
+        both.append(at[p][used[larger].argmin()])
+        used[larger[used[larger].argmin()]] += 1
+    assert used.max() <= 2
+    a = np.unique(np.array(both + [at[5 * q + 2][0] for q in range(42)], np.uint64))
+    b = np.unique(np.array(both + [at[5 * q + 3][0] for q in range(42)], np.uint64))
+    assert set(signatures(a).tolist()) & set(signatures(b).tolist())
+
+
+def test_no_pair_that_reaches_the_threshold_fails_a_sketch():
+    import numpy as np
+
+    from textloom.llm.neardup import _bits_apart, sketch
+
+    rng = np.random.default_rng(6)
+    for size, other in ((3, 6), (100, 200), (300, 300), (900, 1700)):
+        pool = np.unique(rng.integers(1, 1 << 63, 2 * other, dtype=np.uint64))
+        a, b = pool[:size], pool[size // 4 : size // 4 + other]
+        for width in (512, 4096):
+            assert _bits_apart(sketch(a, width), sketch(b)) <= len(np.setxor1d(a, b))
