@@ -114,3 +114,14 @@ def test_packing_is_whole(spark):
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (3, None), (None, "x")], "doc_id bigint, text string")
     assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {1: 2, 2: 0, 3: 0}
+
+
+def test_all_openings_alike_enough_are_linked(spark):
+    from textloom.llm.responses import linked
+
+    rows = []
+    for k in range(1500):  # six of ten words shared
+        same = [f"s{k}x{i}" for i in range(6)]
+        rows += [(2 * k, " ".join(same + [f"a{k}", f"b{k}"])), (2 * k + 1, " ".join(same + [f"c{k}", f"d{k}"]))]
+    found = {(max(r.a, r.b), min(r.a, r.b)) for r in linked(spark.createDataFrame(rows, "id bigint, opening string"), len(rows)).collect()}
+    assert found == {(2 * k + 1, 2 * k) for k in range(1500)}
