@@ -146,3 +146,21 @@ def test_long_codes_lose_no_more_neighbours(spark, monkeypatch):
         got = {(r.id, r.other) for r in most_similar(df, "entry_id", "embedding", substrings=substrings).collect()}
         shares.append(len(got & true) / len(true))
     assert 1 - shares[1] <= (1 - shares[0]) / 2
+
+
+@pytest.mark.parametrize("substrings,rounds", [(6, [1] * 6), (9, [2, 2, 2, 2, 1])])
+def test_substrings_are_not_all_shuffled_at_once(spark, monkeypatch, substrings, rounds):
+    from textloom.llm import vectors
+
+    rows, x = families(groups=6)
+    df = spark.createDataFrame(rows + BAD, SCHEMA)
+    met, sent = vectors.in_whole_groups, []
+
+    def counted(entries, *args):
+        sent.append(entries.count())
+        return met(entries, *args)
+
+    monkeypatch.setattr(vectors, "in_whole_groups", counted)
+    got = {(r.id, r.other) for r in most_similar(df, "entry_id", "embedding", substrings=substrings).collect()}
+    assert sent == [48 * n for n in rounds]
+    assert got == brute(x)

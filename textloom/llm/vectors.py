@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.arrow import in_groups, in_whole_groups, range_tasks
 from textloom.llm.components import components, thinned
-from textloom.plans.storage import stored
+from textloom.plans.storage import discard, stored
 
 DIM = 128
 SAMPLE_ROWS = 10_000  # rows that the rotation is fitted on; every row is coded
@@ -90,6 +90,10 @@ class Rotation:
             turn = (u @ vt).T
         return cls(mean, vectors @ turn)
 
+    def part(self, start: int, end: int) -> Rotation:
+        """The directions from ``start`` to before ``end`` alone."""
+        return Rotation(self.mean, self.axes[:, start:end])
+
     def project(self, x: np.ndarray) -> np.ndarray:
         return (unit(x) - self.mean) @ self.axes if len(x) else np.zeros((0, self.axes.shape[1]))
 
@@ -183,7 +187,8 @@ def most_similar(
     within a Hamming radius of ``substrings - 1`` is retrieved (pigeonhole), and the floats
     of all that meet are compared in double precision, those of a bucket longer than ``block_rows``
     in blocks of which every two meet. The longer the substrings of a large table, the more there are, so the share of
-    neighbours that agree on none does not grow. Copies of one vector beyond the k + 1 smallest
+    neighbours that agree on none does not grow. Substrings are worked a quarter at a time (at least one) and the best
+    rows so far are kept, so the vectors of all are never on disk at once. Copies of one vector beyond the k + 1 smallest
     ids are answered from those, so a vector held by a third of the rows costs no more than one.
 
     Nulls, wrong lengths, zero or non-finite vectors: no row. Ties: the smaller id. Repeated
@@ -209,13 +214,23 @@ def most_similar(
     has_spare = not spare.isEmpty()
     live = vecs.join(spare.select("id"), "id", "left_anti") if has_spare else vecs
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), dim)
-            bit = (rotation.project(x) > 0).astype(np.int64)
-            code = bit.reshape(len(x), m, bits) @ weights
-            for j in range(m):
-                yield pa.RecordBatch.from_arrays([pa.array(code[:, j] * m + j), batch.column(0), batch.column(1)], ["key", "id", "vec"])
+            bit = (rotation.project(matrix(batch.column(1), dim)) > 0).astype(np.int64)
+            code = bit.reshape(len(bit), m, bits) @ weights
+            yield pa.RecordBatch.from_arrays([pa.array((code * m + np.arange(m)).ravel())], ["key"])
+
+    def emitted(start: int, end: int) -> DataFrame:
+        part = rotation.part(start * bits, end * bits)
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = (part.project(matrix(batch.column(1), dim)) > 0).astype(np.int64)
+                code = bit.reshape(len(bit), end - start, bits) @ weights
+                for j in range(start, end):
+                    yield pa.RecordBatch.from_arrays([pa.array(code[:, j - start] * m + j), batch.column(0), batch.column(1)], ["key", "id", "vec"])
+
+        return live.mapInArrow(emit, "key bigint, id bigint, vec binary")
 
     out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
 
@@ -227,18 +242,24 @@ def most_similar(
         a, b, c = _best(matrix(t.column("vec"), dim)[first], ids, k + has_spare, least)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], schema=out)
 
-    entries = live.mapInArrow(emit, "key bigint, id bigint, vec binary")
-    counts = entries.groupBy("key").count()
-    met = in_whole_groups(entries, counts, "key", "id", range_tasks(df, rows * m, 20_000), "id bigint, other bigint, cosine double", best, block_rows)
-    top = (
-        met.groupBy("id")
-        .agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("d"), F.col("other").alias("other")))).alias("o"))
-        .select("id", F.slice("o", 1, k + int(has_spare)).alias("o"))
-    )
+    counts = stored(live.mapInArrow(keys, "key bigint").groupBy("key").count())
+    lists, together = None, max(1, m // 4)
+    for start in range(0, m, together):
+        end = min(m, start + together)
+        own = counts.where(F.pmod("key", F.lit(m)).between(start, end - 1))
+        tasks = range_tasks(df, rows * (end - start), 5_000)
+        met = in_whole_groups(emitted(start, end), own, "key", "id", tasks, "id bigint, other bigint, cosine double", best, block_rows)
+        pairs = met.select("id", (-F.col("cosine")).alias("d"), "other")
+        if lists is not None:
+            pairs = pairs.union(lists.select("id", F.explode("o").alias("p")).select("id", "p.d", "p.other"))
+        top = pairs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("d", "other"))).alias("o"))
+        so_far, lists = lists, stored(top.select("id", F.slice("o", 1, k + int(has_spare)).alias("o")))
+        if so_far is not None:
+            discard(so_far)
+    top = lists
     if has_spare:
         # a spare copy takes over the list of a smaller copy, which itself then counts with cosine 1
         owner = stored(ranked.where("r = 1").select(F.col("id").alias("owner"), "h"))
-        lists = stored(top)
         copied = (
             spare.join(owner, "h")
             .join(lists.withColumnRenamed("id", "owner"), "owner", "left")
