@@ -164,3 +164,62 @@ def test_substrings_are_not_all_shuffled_at_once(spark, monkeypatch, substrings,
     got = {(r.id, r.other) for r in most_similar(df, "entry_id", "embedding", substrings=substrings).collect()}
     assert sent == [48 * n for n in rounds]
     assert got == brute(x)
+
+
+def test_bands_are_worked_a_quarter_at_a_time(spark, monkeypatch):
+    from textloom.llm import vectors
+
+    rows, _ = families(groups=6)
+    df = spark.createDataFrame(rows + BAD, SCHEMA)
+    met, sent = vectors.in_whole_groups, []
+
+    def counted(entries, *args):
+        sent.append(entries.count())
+        return met(entries, *args)
+
+    monkeypatch.setattr(vectors, "in_whole_groups", counted)
+    monkeypatch.setattr(vectors, "band_shape", lambda rows: (8, 18))
+    got = {(r.cluster_key, r.entry_id) for r in similarity_clusters(df, "entry_id", "embedding").collect()}
+    assert len(sent) == 4 and max(sent) <= 5 * 48
+    assert got == {(i // 8 * 8, i) for i in range(48)}
+
+
+def test_bands_keep_their_keys_in_any_round():
+    from textloom.llm.vectors import _bands
+
+    bits = np.random.default_rng(0).integers(0, 2, (50, 128)).astype(np.uint8)
+    assert (_bands(bits, 5, 0, 9) == np.hstack([_bands(bits, 5, 0, 4), _bands(bits, 5, 4, 9)])).all()
+
+
+def test_a_forest_links_parts_as_all_pairs_do():
+    from textloom.llm.components import _labels
+    from textloom.llm.vectors import _forest
+
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, 2, (300, 12)).astype(np.uint8)
+    far = (code[:, None] != code[None]).sum(2)
+    packed = np.frombuffer(np.packbits(np.hstack([code, np.zeros((300, 52), np.uint8)]), axis=1).tobytes(), np.uint64).reshape(-1, 1)
+    part = np.sort(rng.integers(0, 80, 300))
+    part = np.unique(part, return_inverse=True)[1]
+    for most in (0, 1):
+        i, j = np.nonzero((far <= most) & (part[:, None] > part[None]))
+        true = _labels(300, part[i], part[j])
+        a, b = _forest(packed, part, most)
+        assert (a > b).all() and (_labels(300, a, b) == true).all()
+
+
+def test_clusters_are_described_a_slice_at_a_time(spark, monkeypatch):
+    from textloom.llm import vectors
+
+    rows, _ = families(groups=40, size=4)
+    df = spark.createDataFrame(rows + BAD + rows[:3], SCHEMA)
+    made, sent = vectors.in_groups, []
+
+    def counted(entries, *args, **kwargs):
+        sent.append(entries.count())
+        return made(entries, *args, **kwargs)
+
+    monkeypatch.setattr(vectors, "in_groups", counted)
+    got = [(r.cluster_key, r.entry_id) for r in similarity_clusters(df, "entry_id", "embedding").collect()]
+    assert len(sent) == 4 and sum(sent) == 160 and max(sent) <= 80
+    assert sorted(got) == [(i // 4 * 4, i) for i in range(160)]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.arrow import in_groups, in_whole_groups, range_tasks
@@ -280,6 +281,7 @@ def most_similar(
 # ------------------------------------------------------------------ problem 3
 
 CODE_BITS = 128
+SLICES = 4  # of the vectors, by id and then by component, of which one is shuffled at a time
 JACCARD = 0.62  # of the sets {(i, bit i)}: at most 30 of 128 bits differ
 
 
@@ -290,12 +292,14 @@ def band_shape(rows: int) -> tuple[int, int]:
     return r, math.ceil(math.log(0.02) / math.log(1 - 0.75**r))
 
 
-def _bands(bits: np.ndarray, r: int, n: int, seed: int = 11) -> np.ndarray:
-    """MinHash band keys of the sets {(i, bit i)}."""
+def _bands(bits: np.ndarray, r: int, start: int, end: int, seed: int = 11) -> np.ndarray:
+    """MinHash keys of the bands from ``start`` to before ``end`` of the sets {(i, bit i)}."""
     rng = np.random.default_rng(seed)
     width = bits.shape[1]
-    keys = np.zeros((len(bits), n), np.uint64)
-    for band in range(n):
+    keys = np.zeros((len(bits), end - start), np.uint64)
+    for _ in range(start * r):
+        rng.permutation(2 * width)  # those of the bands before
+    for band in range(start, end):
         key = np.full(len(bits), band + 1, np.uint64)
         for _ in range(r):
             # hash values as a permutation of the 2 * width elements; the least present one counts
@@ -307,12 +311,12 @@ def _bands(bits: np.ndarray, r: int, n: int, seed: int = 11) -> np.ndarray:
                 first[i] = (bits[i, index] == value).argmax()
             key = (key * np.uint64(0x9E3779B97F4A7C15)) ^ order[first].astype(np.uint64)
             key ^= key >> np.uint64(29)
-        keys[:, band] = key
+        keys[:, band - start] = key
     return keys
 
 
-def _forest(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of a block that connect whatever all its verified pairs connect."""
+def _forest(code: np.ndarray, part: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of parts of a block that connect whatever all its verified pairs connect; ``part`` has the part of each row, ascending from 0."""
     n = len(code)
     i, j = [], []
     for s in range(0, n, 256):
@@ -320,16 +324,17 @@ def _forest(code: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         for w in range(code.shape[1]):
             far += np.bitwise_count(code[s : s + 256, w, None] ^ code[None, :, w])
         p, q = np.nonzero(far <= most)
-        keep = p + s > q
-        i.append(p[keep] + s)
-        j.append(q[keep])
+        keep = part[p + s] > part[q]
+        i.append(part[p[keep] + s])
+        j.append(part[q[keep]])
     return thinned(n, np.concatenate(i), np.concatenate(j))
 
 
 def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: int = DIM, block_rows: int = 4096) -> DataFrame:
-    """(a, b) links between vectors whose bit sets reach ``jaccard``, as forests within band buckets.
+    """(a, b) links that connect what the pairs of a band bucket connect whose bit sets reach ``jaccard``.
 
-    Vectors of one code, such as copies, hang on the smallest id of them, which alone is banded.
+    Vectors of one code, such as copies, hang on the smallest id of them, which alone is banded. Bands are worked a quarter
+    at a time; what is connected by then counts as one part, of which no pair is looked for or linked again.
     """
     rotation = fitted(vecs, CODE_BITS, rows)
     r, n = band_shape(rows)
@@ -346,35 +351,41 @@ def candidate_links(vecs: DataFrame, rows: int, jaccard: float = JACCARD, dim: i
     shared = one.where("id < last").select("code", F.col("id").alias("b"))
     same = codes.join(shared, "code").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            keys = _bands(np.unpackbits(packed, axis=1), r, n)
-            for band in range(n):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, band].view(np.int64)), batch.column(1), batch.column(0)], ["key", "code", "id"])
+    def emitted(start: int, end: int) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                packed = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                keys = _bands(np.unpackbits(packed, axis=1), r, start, end).view(np.int64)
+                for band in range(end - start):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, band]), batch.column(1), batch.column(0)], ["key", "code", "part"])
+
+        return placed.select("part", "code").mapInArrow(emit, "key bigint, code binary, part bigint")
 
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def link(t: pa.Table) -> pa.RecordBatch | None:
-        if t.num_rows < 2:
+        parts, part = np.unique(t.column("part").to_numpy(), return_inverse=True)
+        if len(parts) < 2:
             return None
-        ids = t.column("id").to_numpy()
-        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(ids), -1)
-        order = np.argsort(ids)
-        ids, code = ids[order], code[order]
-        # rows of one code hang on the first of them
-        code, first, same = np.unique(code, axis=0, return_index=True, return_inverse=True)
-        same = same.reshape(-1)
-        again = np.flatnonzero(first[same] != np.arange(len(ids)))
-        i, j = _forest(code, most)
-        i, j = np.concatenate([first[i], again]).astype(int), np.concatenate([first[j], first[same[again]]]).astype(int)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], schema=out)
-
-    entries = one.select("id", "code").mapInArrow(emit, "key bigint, code binary, id bigint")
-    counts = entries.groupBy("key").count()
-    return in_whole_groups(entries, counts, "key", "id", range_tasks(vecs, rows * n, 250_000), "a bigint, b bigint", link, block_rows).union(same)
+        code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(len(part), -1)
+        order = np.argsort(part, kind="stable")
+        i, j = _forest(code[order], part[order], most)
+        return pa.RecordBatch.from_arrays([pa.array(parts[i]), pa.array(parts[j])], schema=out)
+
+    placed, together = stored(one.select("code", "id", F.col("id").alias("part"))), -(-n // 4)
+    for start in range(0, n, together):
+        entries = emitted(start, min(n, start + together))
+        counts = entries.groupBy("key").count()
+        tasks = range_tasks(vecs, rows * together, 100_000)
+        links = stored(in_whole_groups(entries, counts, "key", "code", tasks, "a bigint, b bigint", link, block_rows).distinct())
+        joined = components(links)
+        hung = placed.join(joined.withColumnRenamed("id", "part"), "part", "left")
+        before, placed = placed, stored(hung.select("code", "id", F.coalesce("component", "part").alias("part")))
+        for done in (before, links, joined):
+            discard(done)
+    return placed.where("id <> part").select(F.col("id").alias("a"), F.col("part").alias("b")).union(same)
 
 
 def _exact_parts(x: np.ndarray, least: float, block: int = 512) -> np.ndarray:
@@ -473,7 +484,17 @@ def similarity_clusters(
         inside = vecs.join(loose.join(giant, "component", "left_semi").select("id", F.col("component").alias("key")), "id")
         exact = components(stored(_exact_links(inside.select("id", "vec", "key"), least, dim, block_rows)))
         loose = stored(loose.join(giant, "component", "left_anti").select("id", "component", "linked").union(exact.select("id", "component", F.lit(True))))
-    placed = vecs.join(loose, "id").withColumnRenamed("component", "key").dropDuplicates(["id"])
+    loose = stored(loose)
+
+    def in_slice(s: int, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column, F.lit(3)), F.lit(SLICES)) == s
+
+    held = []
+    for s in range(SLICES):
+        some = usable(df.where(in_slice(s, F.col(id_col).cast("bigint"))), id_col, vec_col, dim)
+        joined = some.join(loose.where(in_slice(s, F.col("id"))), "id").withColumnRenamed("component", "key")
+        held.append(stored(joined.dropDuplicates(["id"])))
+    placed = reduce(DataFrame.union, held)
     out = pa.schema(
         [("cluster_key", pa.int64()), ("entry_id", pa.int64()), ("size", pa.int64()), ("typical_rank", pa.int64()), ("closeness", pa.float64())]
     )
@@ -506,8 +527,13 @@ def similarity_clusters(
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made[f.name]), f.type) for f in out], schema=out)
 
-    return in_groups(
-        placed, "key", ["id"], range_tasks(df, rows, 15_000),
-        "cluster_key bigint, entry_id bigint, size bigint, typical_rank bigint, closeness double", part, 1 << 40, whole=True,
-    )
-
+    made = [
+        stored(in_groups(
+            placed.where(in_slice(s, F.col("key"))), "key", ["id"], range_tasks(df, rows // SLICES, 15_000),
+            "cluster_key bigint, entry_id bigint, size bigint, typical_rank bigint, closeness double", part, 1 << 40, whole=True,
+        ))
+        for s in range(SLICES)
+    ]
+    for done in held:
+        discard(done)
+    return reduce(DataFrame.union, made)
