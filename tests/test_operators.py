@@ -314,3 +314,18 @@ def test_pairs_and_removal_in_rounds(spark, monkeypatch):
             if all(c[i, j] < least for j in kept):
                 kept.append(i)
         assert sorted(r.id for r in near_duplicates_removed(df, least, DIM).collect()) == kept
+
+
+def test_flat_replay_lists_no_pairs_of_large_groups(spark, monkeypatch):
+    from textloom.operators import similarity as N
+
+    asked, pairs = [], N._pairs
+    monkeypatch.setattr(N, "PREFIX", 5)
+    monkeypatch.setattr(N, "_pairs", lambda rows, *a: asked.append(rows.count()) or pairs(rows, *a))
+    x = np.vstack([np.ones((60, DIM)) + np.random.default_rng(7).normal(size=(60, DIM)) * 0.01, np.random.default_rng(8).normal(size=(12, DIM))])
+    c, kept = cosines(x), []
+    for i in range(len(x)):
+        if all(c[i, j] < C.THETA for j in kept):
+            kept.append(i)
+    assert {r.id: r.hit for r in C.replay_flat(frame(spark, x), C.THETA, DIM).collect()} == {i: i not in kept for i in range(len(x))}
+    assert sum(asked) <= 12

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import vectors as V
 from textloom.operators.fuzzy import FuzzyModel
-from textloom.operators.similarity import QUERY_BLOCK, _matrix, _unit, greedy_keep, near_pairs
-from textloom.plans.storage import stored
+from textloom.operators.similarity import QUERY_BLOCK, _matrix, _unit, near_duplicates_removed
 
 THETA = 0.85
 ROUTES = 2
@@ -142,8 +141,7 @@ def replay(log: DataFrame, model: FuzzyModel | None, dim: int, theta: float = TH
 def replay_flat(vecs: DataFrame, theta: float, dim: int) -> DataFrame:
     """(id, hit) of one unrouted cache over (id, vec) in order of id: a request hits iff an earlier stored
     one is within ``theta``, so the stored set is that of greedy removal and needs no sequential task."""
-    vecs = stored(vecs)
-    kept = greedy_keep(vecs.select("id"), near_pairs(vecs, theta, dim)).select("id", F.lit(True).alias("kept"))
+    kept = near_duplicates_removed(vecs, theta, dim).select("id", F.lit(True).alias("kept"))
     return vecs.select("id").join(kept, "id", "left").select("id", F.col("kept").isNull().alias("hit"))
 
 
